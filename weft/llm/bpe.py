@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from weft.llm import frames, text
 
 #: Rows that are encoded together, and pre-tokens that a worker remembers.
-SLICE, REMEMBERED = 512, 500_000
+SLICE, REMEMBERED = 512, 200_000
 
 
 def fingerprints(keys: list[bytes]) -> np.ndarray:
@@ -102,6 +102,24 @@ class Splitter:
         return (self._any if self._high.search(line) else self._low).findall(line)
 
 
+class Decoder:
+    """The bytes of each id of a rank file."""
+
+    def __init__(self, path: str):
+        with open(path, "rb") as file:
+            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, file)}
+        by_id = [b""] * (max(ranks.values(), default=-1) + 1)
+        for token, rank in ranks.items():
+            by_id[rank] = token
+        self._bytes = np.frombuffer(b"".join(by_id), np.uint8)
+        self._length = np.fromiter(map(len, by_id), np.int64, len(by_id))
+        self._start = np.cumsum(self._length) - self._length
+
+    def decode(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The bytes of ids after each other, and each id's bounds among them; an unknown id has none."""
+        ids = np.where((ids >= 0) & (ids < len(self._length)), ids, 0) if len(ids) and (ids.min() < 0 or ids.max() >= len(self._length)) else ids
+        return _gather(self._bytes, self._start, self._length, ids)
+
 class Encoder:
     def __init__(self, path: str, pattern: str):
         with open(path, "rb") as file:
@@ -112,12 +130,6 @@ class Encoder:
         self.token_at: list[bytes] = [b""] * len(tokens)
         for slot, token in zip(self.hash.slots(tokens).tolist(), tokens, strict=True):
             self.token_at[slot] = token
-        self._by_id = [b""] * (max(self.ranks.values(), default=-1) + 1)
-        for token, rank in self.ranks.items():
-            self._by_id[rank] = token
-        self._bytes = np.frombuffer(b"".join(self._by_id), np.uint8)
-        self._length = np.fromiter(map(len, self._by_id), np.int64, len(self._by_id))
-        self._start = np.cumsum(self._length) - self._length
         self._single = [self.ranks[bytes([b])] for b in range(256)]
         self._pair: dict[int, int] = {}
         for token, rank in self.ranks.items():
@@ -181,11 +193,6 @@ class Encoder:
         ids, bounds = _gather(flat, np.cumsum(length) - length, length, codes)
         return ids, bounds[np.append(0, np.cumsum(list(map(len, words)), dtype=np.int64))]
 
-    def decode(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The bytes of ids after each other, and each id's bounds among them; an unknown id has none."""
-        ids = np.where((ids >= 0) & (ids < len(self._length)), ids, 0) if len(ids) and (ids.min() < 0 or ids.max() >= len(self._length)) else ids
-        return _gather(self._bytes, self._start, self._length, ids)
-
 
 def _gather(flat: np.ndarray, start: np.ndarray, length: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """flat[start[w] : start[w] + length[w]] for each w of which, after each other, and the bounds."""
@@ -201,6 +208,11 @@ def encoder(path: str, pattern: str) -> Encoder:
     return Encoder(path, pattern)
 
 
+@lru_cache(2)
+def decoder(path: str) -> Decoder:
+    return Decoder(path)
+
+
 def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """doc_id, ids (array of int) of every row of docs (doc_id, text; others are ignored).
 
@@ -218,11 +230,11 @@ def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     return frames.arrow_map(frames.keyed(docs), each, "doc_id long, ids array<int>")
 
 
-def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
+def decode(encoded: DataFrame, path: str) -> DataFrame:
     """encoded (doc_id, ids) with the bytes that the ids stand for, as binary ``decoded``; null ids have none."""
 
     def each(batch):
-        own = encoder(path, pattern)
+        own = decoder(path)
         column = batch.column(1)
         for at in range(0, batch.num_rows, SLICE):
             part = column[at : at + SLICE]
@@ -237,7 +249,7 @@ def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
 
 def digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of every row of docs."""
-    back = decode(encode(docs, path, pattern), path, pattern)
+    back = decode(encode(docs, path, pattern), path)
     return back.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 

@@ -120,11 +120,41 @@ class Decoder:
         ids = np.where((ids >= 0) & (ids < len(self._length)), ids, 0) if len(ids) and (ids.min() < 0 or ids.max() >= len(self._length)) else ids
         return _gather(self._bytes, self._start, self._length, ids)
 
-class Encoder:
+class Remembering:
+    """Encodes the distinct pre-tokens of a slice once each, and remembers those met lately."""
+
+    def __init__(self, pattern: str):
+        self.split = Splitter(pattern)
+        self._older: dict[str, tuple[int, ...]] = {}
+        self._newer: dict[str, tuple[int, ...]] = {}
+
+    def _learn(self, new: list[str]) -> None:
+        """Puts the ids of each of new into _newer."""
+        raise NotImplementedError
+
+    def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts after each other, and each text's bounds among them."""
+        if len(self._newer) > REMEMBERED:  # half of what is kept goes, that which was not met lately
+            self._older, self._newer = self._newer, {}
+        words = [self.split(t) if t else [] for t in texts]
+        distinct: dict[str, int] = {}
+        codes = np.fromiter((distinct.setdefault(w, len(distinct)) for own in words for w in own), np.int64, sum(map(len, words)))
+        newer, older = self._newer, self._older
+        newer.update((w, older[w]) for w in distinct if w not in newer and w in older)
+        if new := [w for w in distinct if w not in newer]:
+            self._learn(new)
+        found = list(map(newer.__getitem__, distinct))
+        length = np.fromiter(map(len, found), np.int64, len(found))
+        flat = np.fromiter((i for x in found for i in x), np.int32, int(length.sum()))
+        ids, bounds = _gather(flat, np.cumsum(length) - length, length, codes)
+        return ids, bounds[np.append(0, np.cumsum(list(map(len, words)), dtype=np.int64))]
+
+
+class Encoder(Remembering):
     def __init__(self, path: str, pattern: str):
         with open(path, "rb") as file:
             self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, file)}
-        self.split = Splitter(pattern)
+        super().__init__(pattern)
         tokens = list(self.ranks)
         self.hash = MinimalPerfectHash(tokens)
         self.token_at: list[bytes] = [b""] * len(tokens)
@@ -137,8 +167,6 @@ class Encoder:
                 if (a := self.ranks.get(token[:cut])) is not None and (b := self.ranks.get(token[cut:])) is not None:
                     self._pair[a << 32 | b] = rank
         self._first = np.array([self._pair.get(a << 32 | b, -1) for a in self._single for b in self._single])
-        self._older: dict[str, tuple[int, ...]] = {}
-        self._newer: dict[str, tuple[int, ...]] = {}
 
     def merge(self, piece: bytes, first: list[int]) -> tuple[int, ...]:
         """The ids of one pre-token that is no token itself. first: the rank of each pair of bytes, or -1."""
@@ -176,23 +204,6 @@ class Encoder:
             self._newer[word] = (self.ranks[token],) if token == piece else self.merge(piece, first[at : to - 1])
             at = to
 
-    def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of all texts after each other, and each text's bounds among them."""
-        if len(self._newer) > REMEMBERED:  # half of what is kept goes, that which was not met lately
-            self._older, self._newer = self._newer, {}
-        words = [self.split(t) if t else [] for t in texts]
-        distinct: dict[str, int] = {}
-        codes = np.fromiter((distinct.setdefault(w, len(distinct)) for own in words for w in own), np.int64, sum(map(len, words)))
-        newer, older = self._newer, self._older
-        newer.update((w, older[w]) for w in distinct if w not in newer and w in older)
-        if new := [w for w in distinct if w not in newer]:
-            self._learn(new)
-        found = list(map(newer.__getitem__, distinct))
-        length = np.fromiter(map(len, found), np.int64, len(found))
-        flat = np.fromiter((i for x in found for i in x), np.int32, int(length.sum()))
-        ids, bounds = _gather(flat, np.cumsum(length) - length, length, codes)
-        return ids, bounds[np.append(0, np.cumsum(list(map(len, words)), dtype=np.int64))]
-
 
 def _gather(flat: np.ndarray, start: np.ndarray, length: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """flat[start[w] : start[w] + length[w]] for each w of which, after each other, and the bounds."""

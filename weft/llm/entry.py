@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from weft.llm import bpe, fingerprint, frames, jaccard_join, langid, line_dedup, packing, quality, substring_dedup, toxicity
+from weft.llm import bpe, fingerprint, frames, jaccard_join, langid, line_dedup, packing, quality, substring_dedup, token_file, toxicity
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -49,6 +50,12 @@ def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(frames.documents(spark, sf_dir))
 
 
+def op2_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{frames.shared_dir(spark)}/tokens-{uuid.uuid4().hex}"
+    token_file.write(frames.documents(spark, sf_dir), path, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
+    return token_file.digests(token_file.read(spark, path))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 

@@ -200,9 +200,10 @@ def compared(docs: DataFrame) -> DataFrame:
             order = [hashlib.md5(t.encode()).digest() for t in texts]
             yield pa.record_batch([part.column(1), pa.array(order, pa.binary()), pa.array(heads, pa.binary()), pa.array([c.tobytes() for c in found], pa.binary())], ["_k", "by", "head", "next"])
 
-    given = frames.arrow_map(packed.join(followers(docs), "_k").select("packed", "follower", "need"), give, "_k long, by binary, head binary, next binary")
+    # doc_id goes along unused, so that both joins read the same shuffle of the texts.
+    given = frames.arrow_map(packed.join(followers(docs), "_k").select("packed", "follower", "need", "doc_id"), give, "_k long, by binary, head binary, next binary")
     given = given.groupBy("_k").agg(F.min(F.struct("by", "head", "next")).alias("n")).select("_k", "n.head", "n.next")
-    both = packed.join(given, "_k", "left").select("doc_id", "packed", "head", "next")
+    both = packed.join(given, "_k").select("doc_id", "packed", "head", "next")
 
     def each(batch):
         for at in range(0, batch.num_rows, 512):

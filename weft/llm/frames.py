@@ -9,6 +9,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, LongType, StructType
 
 #: Stands in for a null doc_id, which thus comes before all others.
 NO_ID = -(1 << 63)
@@ -18,12 +19,22 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def keyed(docs: DataFrame) -> DataFrame:
-    """Only what the operators read: _k (doc_id, or NO_ID), doc_id and text, whatever else docs holds."""
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("_k"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+def keyed(docs: DataFrame, rest: bool = False) -> DataFrame:
+    """Only what the operators read: _k (doc_id, or NO_ID), doc_id and text, whatever else docs holds.
+
+    rest: the other columns go along as a struct of that name.
+    """
+    own = [F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("_k"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")]
+    others = [F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")]
+    return docs.select(*own, *([F.struct(*(others or [F.lit(None).cast("int").alias("_")])).alias("rest")] if rest else []))
+
+
+def restored(df: DataFrame, like: DataFrame) -> DataFrame:
+    """The columns of ``like`` from df's doc_id, text and rest."""
+    return df.select(*(F.col(c) if c in ("doc_id", "text") else F.col(f"rest.`{c}`") for c in like.columns))
 
 
-def arrow_map(df: DataFrame, each: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+def arrow_map(df: DataFrame, each: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]], schema: str | StructType) -> DataFrame:
     """mapInArrow with a function of one batch; empty batches are left out."""
 
     def over(batches):
@@ -34,15 +45,19 @@ def arrow_map(df: DataFrame, each: Callable[[pa.RecordBatch], Iterator[pa.Record
     return df.mapInArrow(over, schema)
 
 
-def packed(docs: DataFrame) -> DataFrame:
-    """keyed(docs) with its texts compressed (null stays null), as they travel through a shuffle."""
+def packed(docs: DataFrame, rest: bool = False) -> DataFrame:
+    """keyed(docs, rest) with its texts compressed (null stays null), as they travel through a shuffle."""
+    source = keyed(docs, rest)
+    schema = StructType().add("_k", LongType()).add("doc_id", LongType()).add("packed", BinaryType())
+    if rest:
+        schema = schema.add(source.schema["rest"])
 
     def each(batch):
         press = zstandard.ZstdCompressor(level=1)
         texts = [None if t is None else press.compress(t.encode()) for t in batch.column(2).to_pylist()]
-        yield pa.record_batch([batch.column(0), batch.column(1), pa.array(texts, pa.binary())], ["_k", "doc_id", "packed"])
+        yield pa.record_batch([batch.column(0), batch.column(1), pa.array(texts, pa.binary()), *batch.columns[3:]], schema.names)
 
-    return arrow_map(keyed(docs), each, "_k long, doc_id long, packed binary")
+    return arrow_map(source, each, schema)
 
 
 def unpack(column: pa.Array) -> pa.Array:

@@ -168,8 +168,13 @@ def fit(docs: DataFrame, fit_docs: int = FIT_DOCS) -> Models:
     is on what is fitted. Null or empty languages and texts without letters teach nothing.
     """
     known = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang").where(~held_out(F.col("doc_id")) & F.col("text").rlike(r"\p{L}") & (F.col("lang") != ""))
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id", "text"))
-    chosen = frames.stored(known.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= fit_docs).select("text", "lang", "rank"))
+    draw = F.xxhash64("doc_id", "text")
+    share = {r["lang"]: 4 * fit_docs / r["count"] for r in known.groupBy("lang").count().collect()}
+    # Only rows whose hash makes them likely to be among the least go to the ranking.
+    limits = F.create_map(*(F.lit(x) for name, part in share.items() for x in (name, min(part, 1.0)))) if share else F.create_map().cast("map<string,double>")
+    likely = known.where(draw.cast("double") <= (2 * F.element_at(limits, F.col("lang")) - 1) * 2.0**63)
+    order = Window.partitionBy("lang").orderBy(draw)
+    chosen = frames.stored(likely.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= fit_docs).select("text", "lang", "rank"))
     languages = sorted(r["lang"] for r in chosen.select("lang").distinct().collect())
     index = {name: i for i, name in enumerate(languages)}
 
@@ -238,3 +243,18 @@ def predicted(docs: DataFrame, models: Models) -> DataFrame:
 
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("held_out", held_out(F.col("doc_id")))
     return frames.arrow_map(source, each, "doc_id long, held_out boolean, lang_pred string, score double, rejected boolean")
+
+
+def accepted(docs: DataFrame, models: Models) -> DataFrame:
+    """The rows of docs, with all columns, that are not rejected; see predicted()."""
+    held = docs.sparkSession.sparkContext.broadcast(models)
+    text_at = docs.columns.index("text")
+
+    def each(batch):
+        lines = batch.column(text_at).to_pylist()
+        stay = []
+        for at in range(0, len(lines), 64):
+            stay += (~held.value.predict(lines[at : at + 64])[2]).tolist()
+        yield batch.filter(pa.array(stay, pa.bool_()))
+
+    return frames.arrow_map(docs, each, docs.schema)

@@ -30,6 +30,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructType
 
 from weft.llm import frames, text
 from weft.llm.text import Run
@@ -89,11 +90,11 @@ def _sent(run: Run, leaves: list[np.ndarray], window: int, prefix: int) -> tuple
     return doc[keep], at[keep]
 
 
-def repeats(docs: DataFrame, window: int = WINDOW, prefix: int = PREFIX) -> DataFrame:
+def repeats(docs: DataFrame, window: int = WINDOW, prefix: int = PREFIX, rest: bool = False) -> DataFrame:
     """One row for each document with what a further stage needs to cut its repeats.
 
-    docs: doc_id, text; other columns are ignored. Returns _k, doc_id, packed (the text,
-    zstd), leaves and firsts: see cut(). Rows that share a doc_id count as one document
+    docs: doc_id, text. Returns _k, doc_id, packed (the text,
+    zstd), leaves and firsts, which _cut() reads, and with ``rest`` the other columns. Rows that share a doc_id count as one document
     that is written several times: a window's first place is (doc_id, start), and each row
     that has it there keeps it. A null doc_id comes before all others. A null or empty
     text, or one of fewer words than the window, has no window. An empty table gives an
@@ -112,7 +113,8 @@ def repeats(docs: DataFrame, window: int = WINDOW, prefix: int = PREFIX) -> Data
     marks = frames.arrow_map(frames.keyed(docs), census, "label long, _k long, several boolean")
     single = marks.groupBy("label").agg(F.min("_k").alias("_k"), F.max("_k").alias("_last"), F.max("several").alias("several")).where("_k = _last and not several")
     leaves = single.groupBy("_k").agg(F.collect_list("label").alias("leaves"))
-    held = frames.packed(docs).join(leaves, "_k", "left").select("_k", "doc_id", "packed", "leaves")
+    more = ["rest"] if rest else []
+    held = frames.packed(docs, rest).join(leaves, "_k", "left").select("_k", "doc_id", "packed", "leaves", *more)
 
     def send(batch):
         keys = batch.column(0).to_numpy(zero_copy_only=False)
@@ -126,7 +128,7 @@ def repeats(docs: DataFrame, window: int = WINDOW, prefix: int = PREFIX) -> Data
     sent = frames.arrow_map(held, send, "node long, check long, _k long, start long")
     first = sent.groupBy("node", "check").agg(F.min(F.struct("_k", "start")).alias("first"))
     firsts = first.groupBy(F.col("first._k").alias("_k")).agg(F.collect_list("first.start").alias("firsts"))
-    return held.join(firsts, "_k", "left").select("_k", "doc_id", "packed", "leaves", "firsts")
+    return held.join(firsts, "_k", "left").select("_k", "doc_id", "packed", "leaves", "firsts", *more)
 
 
 def _cut(batch: pa.RecordBatch, window: int, prefix: int):
@@ -166,15 +168,17 @@ def digests(docs: DataFrame, window: int = WINDOW, prefix: int = PREFIX) -> Data
 
 
 def without_repeats(docs: DataFrame, window: int = WINDOW, prefix: int = PREFIX) -> DataFrame:
-    """doc_id, text, n_removed: each document without its repeats.
+    """docs, all its columns, each text without its repeats.
 
     A document that loses nothing keeps its text as it was (null stays null); another
     becomes its kept words joined by single spaces, which may be empty.
     """
+    source = repeats(docs, window, prefix, rest=True)
+    schema = StructType().add("doc_id", LongType()).add("text", StringType()).add(source.schema["rest"])
 
     def each(batch):
         was = frames.unpack(batch.column(2)).to_pylist()
-        rows = [(was[i] if not gone else t.tobytes().decode(), gone) for i, _, gone, t in _cut(batch, window, prefix)]
-        yield pa.record_batch([batch.column(1), pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.int64())], ["doc_id", "text", "n_removed"])
+        texts = [was[i] if not gone else t.tobytes().decode() for i, _, gone, t in _cut(batch, window, prefix)]
+        yield pa.record_batch([batch.column(1), pa.array(texts, pa.string()), batch.column(5)], schema.names)
 
-    return frames.arrow_map(repeats(docs, window, prefix), each, "doc_id long, text string, n_removed long")
+    return frames.restored(frames.arrow_map(source, each, schema), docs)

@@ -1 +1 @@
-
+"""From query text to lazy DataFrames, and the registered queries."""

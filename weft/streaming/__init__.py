@@ -1 +1 @@
-
+"""No streaming operator is in scope: the queries of this engine read bounded tables."""

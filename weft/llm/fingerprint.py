@@ -9,8 +9,8 @@ survives edits elsewhere. Features go, in order, into Bloom filters of ``BITS``
 that holds ``FULL`` features is followed by another.
 
 Two fingerprints are compared filter by filter: of the shorter chain each filter takes its
-best match in the other; common bits count beyond those that chance would give, as a share
-of the most there could be, and filters weigh by their bits.
+best match in the other; common bits count beyond those that chance might give (its mean
+and two deviations), as a share of the most there could be, and filters weigh by their bits.
 """
 
 from __future__ import annotations
@@ -139,7 +139,9 @@ def likeness(x: np.ndarray, y: np.ndarray) -> float:
     common = np.empty((len(x), len(y)), np.int64)
     for i in range(len(x)):
         common[i] = np.bitwise_count(x[i] & y).sum(1, dtype=np.int64)
-    chance, most = a * b / BITS, np.minimum(a, b)
+    most = np.minimum(a, b)
+    chance = a * b / BITS
+    chance = np.minimum(chance + 2 * np.sqrt(chance * (1 - np.maximum(a, b) / BITS)), most)
     score = np.clip((common - chance) / np.maximum(most - chance, 1e-9), 0, 1).max(1)
     return float((score * a[:, 0]).sum() / a.sum())
 

@@ -20,6 +20,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -198,7 +199,8 @@ def compared(docs: DataFrame) -> DataFrame:
             part = batch.slice(at, 512)
             texts = [t or "" for t in frames.unpack(part.column(0)).to_pylist()]
             found = chains([t.encode() for t in texts], rank)
-            heads = [t[:n].encode() for t, n in zip(texts, part.column(2).to_pylist(), strict=True)]
+            press = zstandard.ZstdCompressor(level=1)
+            heads = [press.compress(t[:n].encode()) for t, n in zip(texts, part.column(2).to_pylist(), strict=True)]
             order = [hashlib.md5(t.encode()).digest() for t in texts]
             yield pa.record_batch([part.column(1), pa.array(order, pa.binary()), pa.array(heads, pa.binary()), pa.array([c.tobytes() for c in found], pa.binary())], ["_k", "by", "head", "next"])
 
@@ -211,7 +213,8 @@ def compared(docs: DataFrame) -> DataFrame:
         for at in range(0, batch.num_rows, 512):
             part = batch.slice(at, 512)
             texts = [t or "" for t in frames.unpack(part.column(1)).to_pylist()]
-            edited = [(t[: len(t) - len(t) // 3] + h.decode()[: len(t) // 3]).encode() for t, h in zip(texts, part.column(2).to_pylist(), strict=True)]
+            heads = frames.unpack(part.column(2)).to_pylist()
+            edited = [(t[: len(t) - len(t) // 3] + h[: len(t) // 3]).encode() for t, h in zip(texts, heads, strict=True)]
             own, other = chains([t.encode() for t in texts], rank), chains(edited, rank)
             follow = [np.frombuffer(x, np.uint8).reshape(-1, BITS // 8) for x in part.column(3).to_pylist()]
             columns = [

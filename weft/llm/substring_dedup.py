@@ -123,9 +123,9 @@ def repeats(docs: DataFrame, window: int = WINDOW, prefix: int = PREFIX, rest: b
             doc, at = _sent(run, leaf[run.first : run.first + run.size], window, prefix)
             hashes = run.word_hashes()
             node, check = text.sequences(hashes, window)[at], text.sequences(hashes, window, 1)[at]
-            yield pa.record_batch([pa.array(text.signed(node)), pa.array(text.signed(check)), pa.array(keys[run.first + doc]), pa.array(at - run.words[doc])], ["node", "check", "_k", "start"])
+            yield pa.record_batch([pa.array(text.signed(node)), pa.array((check >> np.uint64(32)).astype(np.uint32).view(np.int32)), pa.array(keys[run.first + doc]), pa.array(at - run.words[doc])], ["node", "check", "_k", "start"])
 
-    sent = frames.arrow_map(held, send, "node long, check long, _k long, start long")
+    sent = frames.arrow_map(held, send, "node long, check int, _k long, start long")
     first = sent.groupBy("node", "check").agg(F.min(F.struct("_k", "start")).alias("first"))
     firsts = first.groupBy(F.col("first._k").alias("_k")).agg(F.collect_list("first.start").alias("firsts"))
     return held.join(firsts, "_k", "left").select("_k", "doc_id", "packed", "leaves", "firsts", *more)

@@ -24,10 +24,10 @@ from pyspark.sql import functions as F
 
 from weft.llm import bpe, frames
 
-BLOCK, LANES = 4096, 1024
+BLOCK, LANES = 2048, 4096
 MAGIC = 0x31544657
 #: Slots of the guesses of either order, and how fast probabilities follow (a shift).
-_SLOTS, _RATE, _LEAST = 4096, 5, 64
+_SLOTS, _RATE, _LEAST = 2048, 5, 64
 _WORD, _LOW = np.uint64(1 << 32), np.uint64(0xFFFFFFFF)
 _16, _32 = np.uint64(16), np.uint64(32)
 

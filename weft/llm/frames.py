@@ -13,6 +13,8 @@ from pyspark.sql.types import BinaryType, LongType, StructType
 
 #: Stands in for a null doc_id, which thus comes before all others.
 NO_ID = -(1 << 63)
+#: Rows that a Python worker looks at together.
+ROWS = 2000
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -35,12 +37,12 @@ def restored(df: DataFrame, like: DataFrame) -> DataFrame:
 
 
 def arrow_map(df: DataFrame, each: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]], schema: str | StructType) -> DataFrame:
-    """mapInArrow with a function of one batch; empty batches are left out."""
+    """mapInArrow with a function of one batch of at most ROWS rows, so that few texts are held at once; none is empty."""
 
     def over(batches):
         for batch in batches:
-            if batch.num_rows:
-                yield from each(batch)
+            for at in range(0, batch.num_rows, ROWS):
+                yield from each(batch.slice(at, ROWS))
 
     return df.mapInArrow(over, schema)
 

@@ -52,7 +52,7 @@ def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{frames.shared_dir(spark)}/tokens-{uuid.uuid4().hex}"
-    token_file.write(frames.documents(spark, sf_dir), path, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
+    token_file.write(frames.documents(spark, sf_dir), path, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN, special=True)
     return token_file.digests(token_file.read(spark, path))
 
 

@@ -14,6 +14,7 @@ itself, its magnitude by adaptive frequencies and the rest as it is.
 
 from __future__ import annotations
 
+import re
 import zlib
 from functools import lru_cache
 
@@ -238,14 +239,31 @@ def read_segment(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 class LibraryEncoder(bpe.Remembering):
-    """Ids by the tokenizers library, of each distinct pre-token once."""
+    """Ids by the tokenizers library, of each distinct pre-token once.
 
-    def __init__(self, path: str, pattern: str):
+    special: added tokens in a text become their ids, as the library does by default; a text
+    that holds one is encoded whole.
+    """
+
+    def __init__(self, path: str, pattern: str, special: bool = False):
         from tokenizers import Tokenizer
 
         super().__init__(pattern)
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = not special
+        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()] if special else []
+        self._added = re.compile("|".join(map(re.escape, added))) if added else None
+
+    def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        whole = [i for i, t in enumerate(texts) if t and self._added.search(t)] if self._added else []
+        if not whole:
+            return super().encode(texts)
+        held = set(whole)
+        ids, bounds = super().encode([None if i in held else t for i, t in enumerate(texts)])
+        parts = [ids[a:b] for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
+        for i, found in zip(whole, self.tokenizer.encode_batch_fast([texts[i] for i in whole], add_special_tokens=False), strict=True):
+            parts[i] = np.array(found.ids, ids.dtype)
+        return np.concatenate(parts), np.append(0, np.cumsum(list(map(len, parts)), dtype=np.int64))
 
     def _learn(self, new: list[str]) -> None:
         for word, found in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
@@ -253,15 +271,16 @@ class LibraryEncoder(bpe.Remembering):
 
 
 @lru_cache(2)
-def library_encoder(path: str, pattern: str) -> LibraryEncoder:
-    return LibraryEncoder(path, pattern)
+def library_encoder(path: str, pattern: str, special: bool = False) -> LibraryEncoder:
+    return LibraryEncoder(path, pattern, special)
 
 
-def write(docs: DataFrame, path: str, tokenizer: str, pattern: str, end_id: int = 0) -> None:
+def write(docs: DataFrame, path: str, tokenizer: str, pattern: str, end_id: int = 0, special: bool = False) -> None:
     """Writes the ids of every row of docs (doc_id, text; others are ignored) as files under path.
 
     path: a folder that all executors see. tokenizer: a byte-level BPE file of the
-    tokenizers library that every executor has; pattern: its split. Each text's ids are
+    tokenizers library that every executor has; pattern: its split; special: whether its added
+    tokens are found in texts, as the library does by default. Each text's ids are
     followed by end_id; a null or empty text has that one only. Files are in ascending
     doc_id order, a null doc_id first; rows that share a doc_id follow each other. Columns:
     part and segment (the order), docs, tokens, data (see write_segment).
@@ -269,7 +288,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, pattern: str, end_id: int
     ordered = frames.packed(docs).repartitionByRange("_k").sortWithinPartitions("_k", "packed").withColumn("part", F.spark_partition_id())
 
     def over(batches):
-        encoder, number, keys, lengths, ids, held = library_encoder(tokenizer, pattern), 0, [], [], [], 0
+        encoder, number, keys, lengths, ids, held = library_encoder(tokenizer, pattern, special), 0, [], [], [], 0
 
         def segment(part):
             size = np.concatenate(lengths)

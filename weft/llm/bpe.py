@@ -241,6 +241,21 @@ def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     return frames.arrow_map(frames.keyed(docs), each, "doc_id long, ids array<int>")
 
 
+def counts(docs: DataFrame, path: str, pattern: str) -> DataFrame:
+    """doc_id, n_ids of every row of docs: how many ids encode() gives; null of a null text."""
+
+    def each(batch):
+        own = encoder(path, pattern)
+        texts = batch.column(2).to_pylist()
+        for at in range(0, len(texts), SLICE):
+            some = texts[at : at + SLICE]
+            _, bounds = own.encode(some)
+            sizes = pa.array(np.diff(bounds), pa.int64(), mask=np.array([t is None for t in some]))
+            yield pa.record_batch([batch.column(1)[at : at + SLICE], sizes], ["doc_id", "n_ids"])
+
+    return frames.arrow_map(frames.keyed(docs), each, "doc_id long, n_ids long")
+
+
 def decode(encoded: DataFrame, path: str) -> DataFrame:
     """encoded (doc_id, ids) with the bytes that the ids stand for, as binary ``decoded``; null ids have none."""
 

@@ -47,7 +47,7 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.packed(frames.documents(spark, sf_dir))
+    return packing.packed_ids(frames.documents(spark, sf_dir), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
 def op2_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:

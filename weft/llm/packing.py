@@ -20,7 +20,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from weft.llm import frames
+from weft.llm import bpe, frames
 
 #: Permitted sequence lengths in tokens, and what a sequence costs besides its length, in tokens.
 CAPACITIES, OVERHEAD = (512, 1024, 2048, 4096, 8192), 24
@@ -124,7 +124,7 @@ def pieces(docs: DataFrame, tokens: Column, longest: int) -> DataFrame:
 
 
 def words(text: str = "text") -> Column:
-    """The query's measure: words of a text and one end mark; none of a null text."""
+    """A measure that needs no tokenizer: words of a text and one end mark; none of a null text."""
     return F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")) + 1
 
 
@@ -160,3 +160,11 @@ def packed(docs: DataFrame, tokens: Column | None = None, capacities: tuple[int,
     placed = placed.select("doc_id", "piece", "length", "number", slot.alias("s"))
     at = F.col("number") - F.col("s.low")
     return placed.select("doc_id", "piece", "length", (F.col("s.first_bin") + F.floor(at / F.col("s.each"))).cast("long").alias("bin"), (F.col("s.first_start") + at % F.col("s.each") * F.col("length")).cast("long").alias("start"), "s.bin_size", "s.bin_used")
+
+
+def packed_ids(docs: DataFrame, path: str, pattern: str) -> DataFrame:
+    """packed() by the ids that a rank file gives each text, and one end mark; none of a null text.
+
+    The counts are written first, as packed() reads its table several times.
+    """
+    return packed(frames.stored(bpe.counts(docs, path, pattern)), F.col("n_ids") + 1)

@@ -36,12 +36,12 @@ class Pattern:
     holds: tuple[tuple[int, int], ...] = ()
 
 
-def opened(length: int, count: int, rest: list[tuple[int, int]], capacities: tuple[int, ...], overhead: int) -> int:
+def opened(length: int, count: int, rest: list[tuple[int, int]], capacities: tuple[int, ...], overhead: int, after: int = 0) -> int:
     """The permitted size that costs least for each token it is likely to hold.
 
     A bin takes as many pieces of this length as there are and fit; what is then left is
     used as far as shorter pieces are known (rest: (length, count) of those still to
-    come, longest first) that go into it.
+    come, longest first, from index ``after``) that go into it.
     """
     best = None
     for size in capacities:
@@ -49,13 +49,11 @@ def opened(length: int, count: int, rest: list[tuple[int, int]], capacities: tup
             continue
         used = min(size // length, count) * length
         left = size - used
-        for other, n in rest:
-            if left < other:
-                continue
+        at = after
+        while left and (at := bisect_left(rest, -left, at, key=lambda r: -r[0])) < len(rest):
+            other, n = rest[at]
             used += other * min(n, left // other)
-            left = size - used
-            if not left:
-                break
+            left, at = size - used, at + 1
         shrunk = next(c for c in capacities if c >= used)
         cost = (shrunk + overhead) / used
         if best is None or (cost, size) < best:
@@ -94,12 +92,13 @@ def plan(counts: dict[int, int], capacities: tuple[int, ...] = CAPACITIES, overh
         put(Pattern(pattern.bins - whole - bool(part), pattern.size, pattern.room, pattern.holds))
         return n - whole * each - part
 
+    known = [(x, counts[x]) for x in lengths]
     for i, length in enumerate(lengths):
         n = counts[length]
         while n:
             at = bisect_left(rooms, length)
             if at == len(rooms):
-                size = opened(length, n, [(x, counts[x]) for x in lengths[i + 1 : i + 65]], capacities, overhead)
+                size = opened(length, n, known, capacities, overhead, i + 1)
                 n = fill(Pattern(-(-n // (size // length)), size, size), length, n)
                 continue
             room = rooms[at]

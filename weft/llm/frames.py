@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -74,9 +75,15 @@ def column_scalars(column: pa.Array):
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors see; one in /tmp is set only where none is, as in tests."""
+    """The folder that all executors see, as spark.checkpoint.dir names it.
+
+    Where that is unset, a session within one machine gets a folder in /tmp, and one on a
+    cluster a ValueError, since no folder of one machine would do.
+    """
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not re.match(r"local($|\[)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         at = f"/tmp/checkpoints/{uuid.uuid4().hex}"
         spark.conf.set("spark.checkpoint.dir", at)
     return at
@@ -90,6 +97,15 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, key: str) -> DataFrame:
+    """stored(df), in as many buckets of ``key`` as the session has shuffle partitions, so that joins by it need not move it."""
+    spark = df.sparkSession
+    name = f"weft_{uuid.uuid4().hex}"
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df.write.option("path", f"{shared_dir(spark)}/{name}").option("compression", "zstd").bucketBy(parts, key).saveAsTable(name)
+    return spark.table(name)
+
+
 def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     """(id, component) of every id in links (a long, b long): the least id that links reach.
 

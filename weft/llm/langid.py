@@ -13,6 +13,8 @@ counts leave out.
 from __future__ import annotations
 
 import re
+import sys
+import unicodedata
 from dataclasses import dataclass
 
 import numpy as np
@@ -31,7 +33,8 @@ DISCOUNT, ALPHABET = 0.75, 5000
 MARGIN, TAIL = 1.5, 0.999
 NONE = "und"
 
-_LETTERS = re.compile(r"[^\W\d_]+")
+#: Runs of letters (category L): re's word characters without digits, other numerals and the underscore.
+_LETTERS = re.compile(r"[^\W\d_" + "".join(map(chr, (c for c in range(sys.maxunicode + 1) if unicodedata.category(chr(c)) in ("Nl", "No")))) + "]+")
 _MULTIPLY = np.uint64(0x9E3779B97F4A7C15)
 
 

@@ -79,7 +79,11 @@ class Run:
         total = int(length.sum())
         place = np.arange(total) - np.repeat(np.cumsum(length) - length, length)
         at = place + np.repeat(self.start, length)
-        parts = _BYTE[self.data[at]] * _PLACE[place & 4095]
+        weight = _PLACE[place & 4095]
+        if int(length.max()) > 4096:  # of a longer word, each further 4096 bytes have weights of their own
+            far = np.flatnonzero(place >> 12)
+            weight[far] = mix(weight[far] + (place[far] >> 12).astype(np.uint64)) | np.uint64(1)
+        parts = _BYTE[self.data[at]] * weight
         sums = np.add.reduceat(parts, np.cumsum(length) - length)
         return mix(sums + length.astype(np.uint64) * _STEP[3])
 

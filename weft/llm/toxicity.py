@@ -22,8 +22,8 @@ from pyspark.sql import functions as F
 from weft.llm import frames
 from weft.llm.langid import held_out
 
-#: Labelled documents (those of least hash) that lexicon and weights are fitted to, at most, and entries of the lexicon.
-FIT_ROWS, ENTRIES = 20_000, 2_000
+#: Labelled documents (those of least hash) that lexicon and weights are fitted to, at most.
+FIT_ROWS = 20_000
 #: Share of toxic documents among those with an entry, for a strong and a weak insult; toxic documents with it at least; letters of stems.
 STRONG, WEAK, SUPPORT, STEMS = 0.95, 0.8, 6, (3, 4, 5, 6, 7, 8)
 CUTOFF = 0.3
@@ -169,9 +169,10 @@ def _counted(texts: DataFrame, lexicon: dict[str, int], keep: list[str]) -> Data
     def over(batches):
         matcher = Matcher(lexicon)
         for batch in batches:
-            if batch.num_rows:
-                rows = [matcher.counts(t) for t in batch.column(0).to_pylist()]
-                yield pa.record_batch([*batch.columns[1:], pa.array(rows, pa.list_(pa.int64()))], [*keep, "counts"])
+            for at in range(0, batch.num_rows, frames.ROWS):
+                part = batch.slice(at, frames.ROWS)
+                rows = [matcher.counts(t) for t in part.column(0).to_pylist()]
+                yield pa.record_batch([*part.columns[1:], pa.array(rows, pa.list_(pa.int64()))], [*keep, "counts"])
 
     kinds = dict(texts.dtypes)
     return texts.select("text", *keep).mapInArrow(over, ", ".join(f"{k} {kinds[k]}" for k in keep) + ", counts array<long>")
@@ -181,8 +182,9 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Model:
     """The lexicon and weights, from labels.toxic of documents that are not held out.
 
     At most ``rows`` labelled documents are used, those of least hash of doc_id; the bound
-    is on what is fitted. Null labels, ids and texts teach nothing. Without a label of
-    either kind the lexicon is empty and every score small.
+    is on what is fitted. Null labels, ids and texts teach nothing; a row that is there several
+    times counts as often. Without a label of either kind, as in empty tables, the lexicon is
+    empty and every score small.
     """
     known = labels.where("toxic is not null and doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), (F.col("toxic") > 0).cast("int").alias("toxic"))
     chosen = known.where(~held_out(F.col("doc_id"))).orderBy(F.xxhash64("doc_id"), "doc_id", "toxic").limit(rows)
@@ -192,7 +194,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Model:
     stems = [F.transform(F.filter("words", lambda w, n=n: F.length(w) > n), lambda w, n=n: F.concat(F.substring(w, 1, n), F.lit("*"))) for n in STEMS]
     terms = texts.select("toxic", words.alias("words")).select("toxic", F.explode(F.array_distinct(F.concat("words", *stems))).alias("term"))
     odds = terms.groupBy("term").agg(F.sum("toxic").alias("hit"), F.count("*").alias("n"))
-    found = odds.where((F.col("hit") >= SUPPORT) & (F.col("hit") >= WEAK * F.col("n"))).orderBy(F.desc("hit"), "term").limit(ENTRIES).collect()
+    found = odds.where((F.col("hit") >= SUPPORT) & (F.col("hit") >= WEAK * F.col("n"))).collect()
     lexicon = {r["term"]: STRONG_INSULT if r["hit"] >= STRONG * r["n"] else WEAK_INSULT for r in found}
     for term in sorted(lexicon, key=len, reverse=True):  # a stem covers its longer ones
         body = term.rstrip("*")
@@ -230,7 +232,9 @@ def _logistic(x: np.ndarray, y: np.ndarray, n: np.ndarray, ridge: float = 1.0) -
 def scored(docs: DataFrame, model: Model, cutoff: float = CUTOFF) -> DataFrame:
     """doc_id, held_out, score, predicted and counts (of OUTPUTS) of every row of docs (doc_id, text; others are ignored).
 
-    A null or empty text has no clause and so the least evidence. The model's size is bounded.
+    A null or empty text has no clause and so the least evidence; a text of any length is read
+    whole. Repeated rows are scored each; an empty table gives an empty result. The model's size
+    is bounded by what it was fitted to.
     """
     texts = docs.select(F.col("text").cast("string").alias("text"), F.col("doc_id").cast("long").alias("doc_id")).withColumn("held_out", held_out(F.col("doc_id")))
     logit = sum((F.log1p(F.col("counts")[i]) * float(w) for i, w in enumerate(model.weights)), F.lit(model.bias))

@@ -1,25 +1,27 @@
-"""Substring dedup by a prefix-partitioned suffix tree, cut at the depth that decides.
-
-A suffix is the word sequence from one word of a document on. Whether a window of
-``window`` words repeats is settled at that depth of the suffix tree, so the tree is
-built no deeper, and its nodes are held by the fingerprints of their path labels
-rather than by the labels: a node at depth d is the set of suffixes whose first d
-words agree. Three shuffles build it:
-
-1. *Prefix census.* Each window is routed by its anchor, the ``prefix``-word label in
-   it with the least fingerprint. Equal windows have equal anchors, at equal places, so
-   a window whose anchor is met once in the corpus lies on a leaf: its subtree has no
-   internal node and is dropped before any suffix is sent. The anchors are about an
-   eighth of the words; documents then learn which of theirs are leaves.
-2. *Subtrees.* The other suffixes are sent by the fingerprint of their whole ``window``
-   words, that is by the longest prefix that is ever needed, so the groups that meet in
-   one partition are as small as they can be. Of every internal node at that depth only
-   the least (doc_id, start) is kept; a partial aggregation runs before the shuffle, so
-   a passage that a third of all documents share costs one row a task.
-3. *Marking.* Documents get the starts at which they are a node's first leaf. Each other
-   sent suffix is a repeat, and overlapping repeats join into the maximal ones.
-
-Nothing is gathered by passage: what meets in a task is one document's own list.
+"""Substring dedup by suffix trees of prefix-partitioned groups.
+
+A suffix is the word sequence from one word of a document on; whether the ``window`` words it
+begins with repeat is settled at that depth of the suffix tree, so trees are built no deeper.
+
+1. *Prefix census.* Suffixes that begin within a window's reach of each other are partitioned
+   together by the least label, a prefix of ``prefix`` words, among the suffixes of the window:
+   equal windows have equal least labels, at equal places. These places are about an eighth of
+   all words. A label that stands in one place of the corpus has one suffix of each kind below
+   it, so no internal node: its suffixes are dropped before any is sent. A label with more than
+   ``group`` places would make a group that outgrows memory, so its prefix is extended to the
+   whole window, the longest that is ever needed.
+2. *Trees.* For each place of another label its words are sent once, with those of the windows
+   that it stands for. A task takes whole groups of at most ``group`` places at a time and sorts
+   their suffixes by prefix doubling: ranks by 1, 2, 4, 8, ... words are the tree's nodes at these
+   depths, and a node of ``window`` words is internal if several suffixes have its rank. Its
+   suffix of least (doc_id, start) comes first. The suffixes of extended prefixes are such nodes
+   as they are; a partial aggregation before their shuffle leaves one row a task of a passage
+   that a third of all documents share.
+3. *Marking.* Documents get the starts at which they are a node's first suffix. Each other
+   suffix that was not dropped is a repeat, and overlapping repeats join into the maximal ones.
+
+Nothing is gathered by passage: what meets in a task is a bounded group, or one document's own
+list. Words are compared by 64 bits of their hash, extended prefixes by 96 bits.
 """
 
 from __future__ import annotations
@@ -35,32 +37,32 @@ from pyspark.sql.types import LongType, StringType, StructType
 from weft.llm import frames, text
 from weft.llm.text import Run
 
-#: Words in a window, and in the label that routes it.
-WINDOW, PREFIX = 20, 6
+#: Words in a window, and in a label; places of a label from which its prefix is extended; words whose suffixes are sorted together.
+WINDOW, PREFIX, GROUP, SORTED = 20, 6, 4096, 1 << 19
+_PLACE = np.uint64((1 << 24) - 1)
 
 
 def _anchors(run: Run, window: int, prefix: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Fingerprints of all labels of prefix words; each window's anchor; which windows lie in one document."""
+    """Labels of all places; the place of each window's least label (its first, if several); which windows lie in one document."""
     labels = text.sequences(run.word_hashes(), prefix)
-    return labels, text.sliding(labels, window - prefix + 1), run.inside(window)
+    marked = (labels & ~_PLACE) | (np.arange(len(labels), dtype=np.uint64) & _PLACE)
+    least = (text.sliding(marked, window - prefix + 1) & _PLACE).astype(np.int64)
+    if len(labels) > int(_PLACE):
+        least += (np.arange(len(least)) - least + int(_PLACE)) // (int(_PLACE) + 1) * (int(_PLACE) + 1)
+    return labels, least, run.inside(window)
 
 
 def _census(run: Run, window: int, prefix: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(document, anchor, whether it stands at several places there) of each anchor of a document."""
-    labels, anchor, inside = _anchors(run, window, prefix)
-    if not inside.any():
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, bool)
-    span = window - prefix + 1
-    floor = np.zeros(len(labels) + span - 1, np.uint64)  # 0: no window there
-    floor[span - 1 : span - 1 + len(anchor)] = np.where(inside, anchor, 0)
-    chosen = np.flatnonzero((text.sliding(floor, span, least=False) == labels) & (labels > 0))
-    doc, label = run.doc[chosen], labels[chosen]
+    """(document, label, places of it there) of the least labels of a document's windows."""
+    labels, least, inside = _anchors(run, window, prefix)
+    place = np.unique(least[inside])
+    doc, label = run.doc[place], labels[place]
     order = np.lexsort((label, doc))
     doc, label = doc[order], label[order]
     new = np.ones(len(doc), bool)
     new[1:] = (doc[1:] != doc[:-1]) | (label[1:] != label[:-1])
     at = np.flatnonzero(new)
-    return doc[at], label[at], np.diff(np.append(at, len(doc))) > 1
+    return doc[at], label[at], np.diff(np.append(at, len(doc)))
 
 
 def _among(doc: np.ndarray, value: np.ndarray, lists: list[np.ndarray]) -> np.ndarray:
@@ -81,16 +83,94 @@ def _lists(column: pa.Array) -> list[np.ndarray]:
     return [values[bounds[i] : bounds[i + 1]] if ok else values[:0] for i, ok in enumerate(column.is_valid().to_pylist())]
 
 
-def _sent(run: Run, leaves: list[np.ndarray], window: int, prefix: int) -> tuple[np.ndarray, np.ndarray]:
-    """The windows (their document; their first word in the run) whose anchor is no leaf."""
-    _, anchor, inside = _anchors(run, window, prefix)
+def _sent(run: Run, leaves: list[np.ndarray], window: int, prefix: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The windows whose label is not one of one place: their document, first word in the run, place and label."""
+    labels, least, inside = _anchors(run, window, prefix)
     at = np.flatnonzero(inside)
-    doc = run.doc[at]
-    keep = ~_among(doc, anchor[at], leaves)
-    return doc[keep], at[keep]
+    doc, place = run.doc[at], least[at]
+    keep = ~_among(doc, labels[place], leaves)
+    return doc[keep], at[keep], place[keep], labels[place[keep]]
 
 
-def repeats(docs: DataFrame, window: int = WINDOW, prefix: int = PREFIX, rest: bool = False) -> DataFrame:
+def _joined(run: Run, first: np.ndarray, n: np.ndarray) -> pa.Array:
+    """For each (first word, number of words), these words with single spaces between."""
+    word = np.arange(int(n.sum())) + np.repeat(first - (np.cumsum(n) - n), n)
+    size = run.end[word] - run.start[word] + 1
+    to = np.cumsum(size) - size
+    out = np.full(int(size.sum()), 0x20, np.uint8)
+    length = size - 1
+    place = np.arange(int(length.sum())) - np.repeat(np.cumsum(length) - length, length)
+    out[place + np.repeat(to, length)] = run.data[place + np.repeat(run.start[word], length)]
+    bounds = np.append(0, np.cumsum(size))[np.append(0, np.cumsum(n))]
+    return pa.Array.from_buffers(pa.large_binary(), len(n), [None, pa.py_buffer(bounds.astype(np.int64)), pa.py_buffer(out)]).cast(pa.binary())
+
+
+def _nodes(hashes: np.ndarray, inside: np.ndarray, window: int) -> np.ndarray:
+    """For each word of sequences that follow each other, the node of the ``window`` words from it on, or -1.
+
+    inside: how many words of its sequence a word has after it, itself included.
+    """
+    level = np.unique(hashes, return_inverse=True)[1]
+    node, depth, done, left = None, 1, 0, window
+    while True:
+        if left & 1:
+            node, done = (level, depth) if node is None else (_deeper(node, level, done, inside, done + depth), done + depth)
+        left >>= 1
+        if not left:
+            return node
+        level, depth = _deeper(level, level, depth, inside, 2 * depth), 2 * depth
+
+
+def _deeper(upper: np.ndarray, lower: np.ndarray, depth: int, inside: np.ndarray, wanted: int) -> np.ndarray:
+    """Ranks of pairs of a rank and that of ``depth`` words on; -1 where a sequence has less than ``wanted`` words left."""
+    out = np.full(len(upper), -1, np.int64)
+    at = np.flatnonzero(inside >= wanted)
+    if len(at):
+        out[at] = np.unique(upper[at] << 32 | lower[at + depth], return_inverse=True)[1]
+    return out
+
+
+def _first_suffixes(batch: pa.RecordBatch, window: int) -> pa.RecordBatch:
+    """(_k, start) of the first suffix of each node of whole groups (label, _k, start, windows, words)."""
+    hashes, length = [], []
+    for run in text.runs(batch.column(4)):
+        hashes.append(run.word_hashes())
+        length.append(np.diff(run.words))
+    length = np.concatenate(length)
+    row = np.repeat(np.arange(len(length)), length)
+    place = np.arange(len(row)) - np.repeat(np.cumsum(length) - length, length)
+    node = _nodes(np.concatenate(hashes), length[row] - place, window)
+    at = np.flatnonzero(place < batch.column(3).to_numpy()[row])
+    k, start = batch.column(1).to_numpy()[row[at]], batch.column(2).to_numpy()[row[at]] + place[at]
+    order = np.lexsort((start, k, node[at]))
+    new = np.ones(len(order), bool)
+    new[1:] = node[at[order]][1:] != node[at[order]][:-1]
+    return pa.record_batch([pa.array(k[order[new]]), pa.array(start[order[new]])], ["_k", "start"])
+
+
+def _whole_groups(batches, most: int):
+    """Sorted rows (label, .., windows, words) anew, in record batches of whole labels and, beyond one label, of some ``most`` words."""
+    held, words = [], 0
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held.append(batch)
+        words += int(batch.column(3).to_numpy().sum()) + 20 * batch.num_rows
+        if words >= most:
+            whole = _one(held)
+            label = whole.column(0).to_numpy()
+            if cut := int(np.searchsorted(label, label[-1])):
+                yield whole.slice(0, cut)
+            held, words = [whole.slice(cut)], words * (len(label) - cut) // len(label)
+    if held:
+        yield _one(held)
+
+
+def _one(batches: list[pa.RecordBatch]) -> pa.RecordBatch:
+    return pa.Table.from_batches(batches).combine_chunks().to_batches()[0]
+
+
+def repeats(docs: DataFrame, window: int = WINDOW, prefix: int = PREFIX, rest: bool = False, group: int = GROUP) -> DataFrame:
     """One row for each document with what a further stage needs to cut its repeats.
 
     docs: doc_id, text. Returns _k, doc_id, packed (the text,
@@ -98,36 +178,62 @@ def repeats(docs: DataFrame, window: int = WINDOW, prefix: int = PREFIX, rest: b
     that is written several times: a window's first place is (doc_id, start), and each row
     that has it there keeps it. A null doc_id comes before all others. A null or empty
     text, or one of fewer words than the window, has no window. An empty table gives an
-    empty result.
+    empty result. group: places of a label that a tree is built over, at most.
     """
-    width = window - prefix + 1
-    if width < 1:
+    if window < prefix:
         raise ValueError("the prefix must not be longer than the window")
 
     def census(batch):
         keys = batch.column(0).to_numpy(zero_copy_only=False)
         for run in text.runs(batch.column(2)):
-            doc, label, several = _census(run, window, prefix)
-            yield pa.record_batch([pa.array(text.signed(label)), pa.array(keys[run.first + doc]), pa.array(several)], ["label", "_k", "several"])
-
-    marks = frames.arrow_map(frames.keyed(docs), census, "label long, _k long, several boolean")
-    single = marks.groupBy("label").agg(F.min("_k").alias("_k"), F.max("_k").alias("_last"), F.max("several").alias("several")).where("_k = _last and not several")
-    leaves = single.groupBy("_k").agg(F.collect_list("label").alias("leaves"))
+            doc, label, places = _census(run, window, prefix)
+            yield pa.record_batch([pa.array(text.signed(label)), pa.array(keys[run.first + doc]), pa.array(places, pa.int64())], ["label", "_k", "places"])
+
+    marks = frames.arrow_map(frames.keyed(docs), census, "label long, _k long, places long")
+    known = marks.groupBy("label").agg(F.min("_k").alias("_k"), F.sum("places").alias("places")).where(f"places = 1 or places > {group}")
+    known = frames.stored(known)
+    leaves = known.where("places = 1").groupBy("_k").agg(F.collect_list("label").alias("leaves"))
+    long = known.where(f"places > {group}").select("label")
+    extended = marks.join(long, "label").groupBy("_k").agg(F.collect_set("label").alias("extended"))
     more = ["rest"] if rest else []
-    held = frames.packed(docs, rest).join(leaves, "_k", "left").select("_k", "doc_id", "packed", "leaves", *more)
+    held = frames.packed(docs, rest).join(leaves, "_k", "left").join(extended, "_k", "left").select("_k", "doc_id", "packed", "leaves", "extended", *more)
 
-    def send(batch):
+    def picked(batch):
+        """For each run its rows' _k and the windows of labels of several places, with whether their prefix is extended."""
         keys = batch.column(0).to_numpy(zero_copy_only=False)
-        leaf = [text.unsigned(x) for x in _lists(batch.column(3))]
+        leaf, longer = ([text.unsigned(x) for x in _lists(batch.column(i))] for i in (3, 4))
         for run in text.runs(frames.unpack(batch.column(2))):
-            doc, at = _sent(run, leaf[run.first : run.first + run.size], window, prefix)
-            hashes = run.word_hashes()
-            node, check = text.sequences(hashes, window)[at], text.sequences(hashes, window, 1)[at]
-            yield pa.record_batch([pa.array(text.signed(node)), pa.array((check >> np.uint64(32)).astype(np.uint32).view(np.int32)), pa.array(keys[run.first + doc]), pa.array(at - run.words[doc])], ["node", "check", "_k", "start"])
-
-    sent = frames.arrow_map(held, send, "node long, check int, _k long, start long")
-    first = sent.groupBy("node", "check").agg(F.min(F.struct("_k", "start")).alias("first"))
-    firsts = first.groupBy(F.col("first._k").alias("_k")).agg(F.collect_list("first.start").alias("firsts"))
+            own = slice(run.first, run.first + run.size)
+            doc, at, place, label = _sent(run, leaf[own], window, prefix)
+            yield run, keys[own], doc, at, place, label, _among(doc, label, longer[own])
+
+    def places(batch):
+        for run, keys, doc, at, place, label, far in picked(batch):
+            doc, at, place, label = doc[~far], at[~far], place[~far], label[~far]
+            if not len(at):
+                continue
+            new = np.ones(len(at), bool)
+            new[1:] = (place[1:] != place[:-1]) | (doc[1:] != doc[:-1])
+            first = np.flatnonzero(new)
+            windows = np.diff(np.append(first, len(at)))
+            d, w = doc[first], at[first]
+            yield pa.record_batch([pa.array(text.signed(label[first])), pa.array(keys[d]), pa.array(w - run.words[d]), pa.array(windows, pa.int32()), _joined(run, w, windows + window - 1)], ["label", "_k", "start", "windows", "words"])
+
+    def trees(batches):
+        for groups in _whole_groups(batches, SORTED):
+            yield _first_suffixes(groups, window)
+
+    def longest(batch):
+        for run, keys, doc, at, _, _, far in picked(batch):
+            d, w, hashes = doc[far], at[far], run.word_hashes()
+            node, check = text.sequences(hashes, window)[w], text.sequences(hashes, window, 1)[w]
+            yield pa.record_batch([pa.array(text.signed(node)), pa.array((check >> np.uint64(32)).astype(np.uint32).view(np.int32)), pa.array(keys[d]), pa.array(w - run.words[d])], ["node", "check", "_k", "start"])
+
+    grouped = frames.arrow_map(held.select("_k", "doc_id", "packed", "leaves", "extended"), places, "label long, _k long, start long, windows int, words binary")
+    inner = grouped.repartition("label").sortWithinPartitions("label").mapInArrow(trees, "_k long, start long")
+    alone = frames.arrow_map(held.where("extended is not null").select("_k", "doc_id", "packed", "leaves", "extended"), longest, "node long, check int, _k long, start long")
+    nodes = alone.groupBy("node", "check").agg(F.min(F.struct("_k", "start")).alias("first")).select("first.*")
+    firsts = inner.unionByName(nodes).groupBy("_k").agg(F.collect_list("start").alias("firsts"))
     return held.join(firsts, "_k", "left").select("_k", "doc_id", "packed", "leaves", "firsts", *more)
 
 
@@ -136,7 +242,7 @@ def _cut(batch: pa.RecordBatch, window: int, prefix: int):
     leaf, firsts = [text.unsigned(x) for x in _lists(batch.column(3))], _lists(batch.column(4))
     for run in text.runs(frames.unpack(batch.column(2))):
         own = slice(run.first, run.first + run.size)
-        doc, at = _sent(run, leaf[own], window, prefix)
+        doc, at, _, _ = _sent(run, leaf[own], window, prefix)
         again = at[~_among(doc, at - run.words[doc], firsts[own])]
         n = len(run.start)
         cover = np.zeros(n + 1, np.int32)
@@ -157,14 +263,14 @@ def _cut(batch: pa.RecordBatch, window: int, prefix: int):
             yield run.first + i, int(run.words[i + 1] - run.words[i]), int(removed[i]), out[ends[i] : max(ends[i], ends[i + 1] - 1)]
 
 
-def digests(docs: DataFrame, window: int = WINDOW, prefix: int = PREFIX) -> DataFrame:
+def digests(docs: DataFrame, window: int = WINDOW, prefix: int = PREFIX, group: int = GROUP) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 of every row of docs; see repeats() for odd rows."""
 
     def each(batch):
         rows, n, gone, digest = zip(*((i, a, b, hashlib.sha256(t).hexdigest()) for i, a, b, t in _cut(batch, window, prefix)), strict=True)
         yield pa.record_batch([batch.column(1), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(digest)], ["doc_id", "n_words", "n_removed", "kept_sha256"])
 
-    return frames.arrow_map(repeats(docs, window, prefix), each, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    return frames.arrow_map(repeats(docs, window, prefix, group=group), each, "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
 def without_repeats(docs: DataFrame, window: int = WINDOW, prefix: int = PREFIX) -> DataFrame:

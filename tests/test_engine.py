@@ -31,12 +31,10 @@ def test_budgets():
         engine.prepare("SELECT " + ", ".join("?" * 257))
 
 
-def test_bounded_and_mode(spark):
+def test_bounded(spark):
     rows, more = engine.bounded(spark.range(20), 5)
     assert len(rows) == 5 and more
     assert engine.bounded(spark.range(5), 5)[1] is False
-    assert engine.mode(spark.range(10)) == "interactive"
-    assert engine.mode(spark.range(10), 1, 1 << 40) == "batch"
 
 
 def test_null_semantics(spark):
@@ -63,3 +61,40 @@ def test_catalog(spark):
     again.register(spark, {"records_t": spark.sql("SELECT CAST(NULL AS BIGINT) AS id, 2.5 AS score")})
     with pytest.raises(Exception, match="is null"):
         spark.sql("SELECT * FROM r_t").collect()
+
+
+@pytest.mark.parametrize(
+    "text",
+    ["SELECT a FROM t ORDER BY format DESC", "SELECT a FROM t ORDER BY scope DESC", "SELECT * FROM download", "SELECT * FROM t AS scope", 'SELECT "a?b" FROM t', "SELECT `a$1` FROM t", 'SELECT "@x" FROM t', "SELECT `settings x = 1` FROM t"],
+)
+def test_prepare_leaves_queries_alone(text):
+    assert engine.prepare(text).text == text
+
+
+def test_explain_shows_the_plan(spark):
+    out = engine.dataframe(spark, "EXPLAIN SELECT a FROM VALUES (1), (2) AS t(a) WHERE a > ?", [1])
+    assert out.columns == ["plan"] and "Physical Plan" in out.first()[0]
+
+
+@pytest.mark.parametrize(
+    ("text", "code"),
+    [
+        ("SELECT * FROM a JOIN b USING (k)", "QF0000"), ("SELECT * FROM a NATURAL JOIN b", "QF0000"), ("SELECT * FROM a LEFT SEMI JOIN b ON a.k = b.k", "QF0000"), ("SELECT * FROM a LEFT ANTI JOIN b ON a.k = b.k", "QF0000"), ("SELECT * FROM a, LATERAL (SELECT 1) t", "QF0000"),
+        ("SELECT a FROM t UNION SELECT a FROM u", "QF0002"), ("SELECT a FROM t INTERSECT SELECT a FROM u", "QF0002"), ("SELECT a FROM t EXCEPT SELECT a FROM u", "QF0002"), ("SELECT x FROM (SELECT a AS x FROM t UNION SELECT a FROM u) d", "QF0002"),
+        ("WITH RECURSIVE r AS (SELECT 1 AS n UNION ALL SELECT n + 1 FROM r) SELECT * FROM r", "QF0001"),
+        ("SELECT a, COUNT(*) FROM t GROUP BY ALL", "QF0012"), ("SELECT a, COUNT(*) FROM t GROUP BY ROLLUP(a)", "QF0012"), ("SELECT a, COUNT(*) FROM t GROUP BY a WITH CUBE", "QF0012"), ("SELECT a, COUNT(*) FROM t GROUP BY GROUPING SETS ((a), ())", "QF0012"),
+        ("SELECT SUM(a) OVER (ORDER BY a ROWS BETWEEN 1 PRECEDING AND CURRENT ROW) FROM t", "QF0000"), ("SELECT SUM(a) OVER w FROM t WINDOW w AS (ORDER BY a)", "QF0000"), ("SELECT PERCENTILE_CONT(0.5) WITHIN GROUP (ORDER BY a) FROM t", "QF0000"), ("SELECT FIRST_VALUE(a) IGNORE NULLS OVER (ORDER BY a) FROM t", "QF0000"),
+        ("SELECT a FROM t ORDER BY ALL", "QF0000"), ("FROM t |> WHERE a > 1", "QF0000"), ("SELECT a FROM t SORT BY a", "QF0000"), ("INSERT INTO t VALUES (1)", "QF0000"), ("SELECT a FROM (" * 80 + "SELECT a FROM t" + ") AS d" * 80, "budget"),
+        ("SELECT 1 FROM t " + " ".join(f"JOIN t AS t{i} ON TRUE" for i in range(20)), "budget"),
+    ],
+)
+def test_outside_the_subset(spark, text, code):
+    with pytest.raises(engine.QueryError) as error:
+        engine.dataframe(spark, text)
+    assert error.value.code == code
+
+
+def test_the_subset_passes_the_gate(spark):
+    for text in ("SELECT 'x UNION y', 'WITHIN GROUP', 'rollup(Vector' AS a", "SELECT a, COUNT(*) FROM VALUES (1) AS t(a) GROUP BY a", "SELECT a FROM VALUES (1) AS t(a) UNION ALL SELECT 2", "SELECT SUM(a) OVER (ORDER BY a) FROM VALUES (1) AS t(a)", "SELECT DISTINCT a FROM (SELECT 1 AS a UNION ALL SELECT 1) AS d"):
+        engine.dataframe(spark, text)
+    assert engine.dataframe(spark, "SELECT a FROM VALUES (1) AS t(a) INTERSECT SELECT 1", strict=False).count() == 1

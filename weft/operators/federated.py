@@ -1,7 +1,7 @@
 """Two-stage queries over data that lies on several nodes.
 
 Each node's rows are reduced where they are (scatter) and the partial rows are merged
-(gather). Nodes are DataFrames, or values of a column of one. COUNT is merged by SUM and
+(gather). Nodes are DataFrames. COUNT is merged by SUM and
 is 0 without partial rows; AVG goes as sum and count; group keys always travel, whether
 they are shown or not; filters run on the nodes alone.
 """
@@ -50,14 +50,11 @@ def _union(nodes: Iterable[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, nodes)
 
 
-def by_node(df: DataFrame, node: Column, keys: list[str], aggregates: list[Aggregate], where: Column | None = None) -> DataFrame:
-    """Partial rows by node and keys, then merged by keys: what the same aggregation gives directly."""
-    scattered = (df if where is None else df.where(where)).withColumn("__node", node).groupBy("__node", *keys).agg(*(p for a in aggregates for p in a.partial()))
-    return scattered.groupBy(*keys).agg(*(a.final() for a in aggregates))
-
-
 def over_nodes(nodes: list[DataFrame], keys: list[str], aggregates: list[Aggregate], where: Column | None = None) -> DataFrame:
-    """The same for nodes that are DataFrames of one schema; a node without rows adds nothing."""
+    """Partial rows of each node (DataFrames of one schema), merged by keys: what the aggregation of all rows gives directly.
+
+    A node without rows adds nothing.
+    """
     own = ((n if where is None else n.where(where)).groupBy(*keys).agg(*(p for a in aggregates for p in a.partial())) for n in nodes)
     return _union(own).groupBy(*keys).agg(*(a.final() for a in aggregates))
 

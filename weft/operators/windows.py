@@ -15,9 +15,9 @@ def filtered(function: str, value: Column, where: Column, over: WindowSpec) -> C
 def distinct_count(value: Column, partition: list[Column]) -> Column:
     """COUNT(DISTINCT value) OVER (PARTITION BY partition), without a frame.
 
-    The greatest dense rank of a value that is not null; no set of values is built. Where a partition has none it is null.
+    The greatest dense rank of a value that is not null, 0 where a partition has none; no set of values is built.
     """
     from pyspark.sql import Window
 
     up = F.dense_rank().over(Window.partitionBy(*partition).orderBy(value.asc_nulls_last()))
-    return F.max(F.when(value.isNotNull(), up)).over(Window.partitionBy(*partition))
+    return F.coalesce(F.max(F.when(value.isNotNull(), up)).over(Window.partitionBy(*partition)), F.lit(0)).cast("long")

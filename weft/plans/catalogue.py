@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Callable
 from functools import partial
@@ -19,7 +20,7 @@ TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineite
 #: Queries whose text Spark and the oracle both run as it stands.
 SQL = {
     "scan_filter_project": 'SELECT o_orderkey, o_totalprice FROM orders WHERE o_totalprice > 100000',
-    "const_select": 'SELECT 1 AS one',
+    "const_select": 'SELECT 1 AS one FROM nation',
     "wildcard": 'SELECT * FROM region',
     "qualified_wildcard": 'SELECT n.* FROM nation AS n LEFT JOIN region AS r ON n.n_regionkey = r.r_regionkey',
     "distinct": 'SELECT DISTINCT o_orderstatus FROM orders',
@@ -81,10 +82,18 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _sql(text: str, spark: SparkSession, sf_dir: str, values: list | dict | None = None) -> DataFrame:
-    for name in TABLES:
-        if name in text:
-            _table(spark, sf_dir, name).createOrReplaceTempView(name)
-    return engine.dataframe(spark, text, values)
+    """The query over the tables it names; views of these names that the session has are as before afterwards."""
+    own = [name for name in TABLES if re.search(rf"\b{name}\b", text)]
+    had = {name: spark.table(name) for name in own if spark.catalog.tableExists(name)}
+    for name in own:
+        _table(spark, sf_dir, name).createOrReplaceTempView(name)
+    try:
+        return engine.dataframe(spark, text, values, strict="WITHIN GROUP" not in text)
+    finally:
+        for name in own:
+            spark.catalog.dropTempView(name)
+            if name in had and not spark.catalog.tableExists(name):
+                had[name].createOrReplaceTempView(name)
 
 
 def _money(name: str):
@@ -93,11 +102,12 @@ def _money(name: str):
 
 
 def fed_aggregates(spark, sf_dir):
-    """All decomposable aggregates, by node and merged."""
-    orders = _table(spark, sf_dir, "orders").where("o_custkey is not null")
-    price = F.col("o_orderkey")
-    wanted = [federated.Aggregate("count", "n"), federated.Aggregate("sum", "total", price), federated.Aggregate("avg", "mean", price), federated.Aggregate("min", "low", price), federated.Aggregate("max", "high", price)]
-    return federated.by_node(orders, F.col("o_orderkey") % 4, ["o_custkey"], wanted, F.col("o_totalprice") > 1000)
+    """All decomposable aggregates, over two nodes and merged."""
+    orders = _table(spark, sf_dir, "orders")
+    nodes = [orders.where(F.coalesce(F.col("o_orderkey") % 2, F.lit(0)) == i) for i in range(2)]
+    key = F.col("o_orderkey")
+    wanted = [federated.Aggregate("count", "n"), federated.Aggregate("sum", "total", key), federated.Aggregate("avg", "mean", key), federated.Aggregate("min", "low", key), federated.Aggregate("max", "high", key)]
+    return federated.over_nodes(nodes, ["o_custkey"], wanted, F.col("o_totalprice") > 1000)
 
 
 def fed_nodes(spark, sf_dir):
@@ -151,8 +161,10 @@ def window_filter(spark, sf_dir):
 
 
 def window_distinct(spark, sf_dir):
+    """Some customers have no priority but null."""
     orders = _table(spark, sf_dir, "orders")
-    return orders.select("o_orderkey", windows.distinct_count(F.col("o_orderpriority"), [F.col("o_custkey")]).cast("long").alias("n"))
+    known = F.when(F.col("o_custkey") % 3 != 0, F.col("o_orderpriority"))
+    return orders.select("o_orderkey", windows.distinct_count(known, [F.col("o_custkey")]).alias("n"))
 
 
 def quantiles(spark, sf_dir):
@@ -188,12 +200,15 @@ def array_literal(spark, sf_dir):
 def to_string_function(spark, sf_dir):
     portable_functions = portable.Registry()
     portable_functions.install(spark)
-    return _sql("SELECT c_custkey, toString(CAST(c_nationkey AS STRING)) AS s FROM customer", spark, sf_dir)
+    return _sql("SELECT c_custkey, toString(c_nationkey) AS s FROM customer", spark, sf_dir)
 
 
 def _shared(spark) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints"
-    return f"{base}/{uuid.uuid4().hex}"
+    """A new folder in spark.checkpoint.dir; only a session within one machine may leave that unset."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base and not re.match(r"local($|\[)", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return f"{base or '/tmp/checkpoints'}/{uuid.uuid4().hex}"
 
 
 def append_twice(spark, sf_dir):
@@ -265,7 +280,7 @@ COMPOSED: dict[Callable, str] = {
     state_merge: "SELECT l_returnflag, COUNT(l_quantity) AS n, SUM(l_quantity) AS s, AVG(l_quantity) AS a, MIN(l_quantity) AS lo, MAX(l_quantity) AS hi FROM lineitem GROUP BY l_returnflag",
     state_merge_spread: "SELECT l_returnflag, CAST(FLOOR(VAR_POP(l_quantity) * 1000 + 0.5) AS BIGINT) AS v, CAST(FLOOR(STDDEV_POP(l_quantity) * 1000 + 0.5) AS BIGINT) AS s FROM lineitem GROUP BY l_returnflag",
     window_filter: "SELECT o_orderkey, COUNT(o_orderkey) FILTER (WHERE o_orderstatus = 'F') OVER (PARTITION BY o_custkey) AS n, MAX(o_totalprice) FILTER (WHERE o_orderpriority = '1-URGENT') OVER (PARTITION BY o_custkey) AS high FROM orders",
-    window_distinct: "SELECT o_orderkey, COUNT(DISTINCT o_orderpriority) OVER (PARTITION BY o_custkey) AS n FROM orders",
+    window_distinct: "SELECT o_orderkey, COUNT(DISTINCT CASE WHEN o_custkey % 3 <> 0 THEN o_orderpriority END) OVER (PARTITION BY o_custkey) AS n FROM orders",
     quantiles: "SELECT o_orderstatus, CAST(FLOOR(QUANTILE_CONT(o_totalprice, 0.25) * 100 + 0.5) AS BIGINT) AS q25, CAST(FLOOR(QUANTILE_CONT(o_totalprice, 0.5) * 100 + 0.5) AS BIGINT) AS q50, CAST(FLOOR(QUANTILE_CONT(o_totalprice, 0.75) * 100 + 0.5) AS BIGINT) AS q75 FROM orders GROUP BY o_orderstatus",
     parameter_positions: "SELECT o_orderkey FROM orders WHERE o_totalprice > 150000.0 AND o_orderstatus = 'F'",
     parameter_list: "SELECT c_custkey FROM customer WHERE c_mktsegment IN ('BUILDING', 'MACHINERY')",

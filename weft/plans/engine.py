@@ -13,6 +13,8 @@ from dataclasses import dataclass, field
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 
+from weft.plans import gate
+
 # The portable codes of Spark's error conditions.
 CODES = {
     "TABLE_OR_VIEW_NOT_FOUND": "QF0005",
@@ -26,6 +28,8 @@ CODES = {
     "DATATYPE_MISMATCH": "QF0024",
     "PARSE_SYNTAX_ERROR": "parse",
 }
+# What FORMAT may name.
+FORMATS = ("arrow", "parquet", "csv", "json", "orc")
 # The most bytes and parameters of a query.
 MOST_BYTES, MOST_PARAMETERS = 1 << 20, 256
 
@@ -40,9 +44,10 @@ class QueryError(ValueError):
 
 @dataclass(frozen=True)
 class Query:
-    """text for Spark and what was taken off: explain, scope, download format, result format, settings."""
+    """text for Spark, the same with its literals emptied, and what was taken off: explain, scope, download format, result format, settings."""
 
     text: str
+    shape: str = ""
     explain: bool = False
     scope: str = "local"
     download: str | None = None
@@ -50,19 +55,22 @@ class Query:
     settings: dict[str, str] = field(default_factory=dict)
 
 
-_MASKED = re.compile(r"'(?:[^']|'')*'|--[^\n]*|/\*.*?\*/", re.S)
+_MASKED = re.compile(r"'(?:[^']|\'\')*'|\"(?:[^\"]|\"\")*\"|`(?:[^`]|``)*`|--[^\n]*|/\*.*?\*/", re.S)
+#: Where a directive stands on a line of its own; its value.
+_LINES = {"scope": r"scope[ \t]+(\w+)", "download": r"download[ \t]+(\w+)"}
 
 
 def prepare(text: str) -> Query:
-    """Takes off EXPLAIN, SCOPE s, DOWNLOAD [f], FORMAT f and SETTINGS k = v; lets a query begin with FROM; names parameters.
+    """Takes off EXPLAIN, SCOPE s, DOWNLOAD f, FORMAT f and SETTINGS k = v; lets a query begin with FROM; names parameters.
 
-    ``$n`` becomes ``:pn``, each ``?`` the next number, ``@n`` becomes ``:n``. Nothing is
-    changed within literals; comments go.
+    SCOPE and DOWNLOAD stand on lines of their own, FORMAT (one of FORMATS) and SETTINGS at the
+    end. ``$n`` becomes ``:pn``, each ``?`` the next number, ``@n`` becomes ``:n``. Nothing is
+    changed within literals and quoted names; comments go.
     """
     kept: list[str] = []
 
     def mask(m):
-        if m[0][0] != "'":
+        if m[0][0] in "-/":
             return " "
         kept.append(m[0])
         return f"\0{len(kept) - 1}\0"
@@ -75,11 +83,13 @@ def prepare(text: str) -> Query:
     found: dict = {}
     if m := re.match(r"explain\s+", body, re.I):
         body, found["explain"] = body[m.end() :], True
+    for name, line in _LINES.items():
+        if (m := re.search(rf"^[ \t]*{line}[ \t]*;?[ \t]*$", body, re.I | re.M)) and body[: m.start()].strip():
+            body, found[name] = f"{body[: m.start()]}{body[m.end() :]}".strip(), m[1].lower()
     if m := re.search(r"\ssettings\s+(\w+\s*=\s*[\w.]+(?:\s*,\s*\w+\s*=\s*[\w.]+)*)\s*$", body, re.I):
         body, found["settings"] = body[: m.start()], dict(re.split(r"\s*=\s*", x.strip()) for x in m[1].split(","))
-    for name, tail in (("scope", r"\bscope\s+(\w+)"), ("download", r"\bdownload(?:\s+(\w+))?"), ("format", r"\bformat\s+(\w+)")):
-        if m := re.search(rf"(?:^|\s){tail}\s*$", body, re.I) or re.search(rf"^\s*{tail}\s*$", body, re.I | re.M) if name != "format" else re.search(rf"\s{tail}\s*$", body, re.I):
-            body, found[name] = f"{body[: m.start()]}\n{body[m.end() :]}".strip(), (m[1] or "arrow").lower()
+    if m := re.search(rf"\sformat\s+({'|'.join(FORMATS)})\s*$", body, re.I):
+        body, found["format"] = body[: m.start()], m[1].lower()
     if re.match(r"from\s", body, re.I):
         body = f"SELECT * {body}"
     count = iter(range(1, MOST_PARAMETERS + 2))
@@ -88,15 +98,23 @@ def prepare(text: str) -> Query:
     body = re.sub(r"(?<![\w@])@(\w+)", r":\1", body)
     if len(set(re.findall(r":(\w+)", body))) > MOST_PARAMETERS:
         raise QueryError("budget", f"more than {MOST_PARAMETERS} parameters")
-    return Query(re.sub(r"\0(\d+)\0", lambda m: kept[int(m[1])], body), **found)
+    whole = lambda empty: re.sub(r"\0(\d+)\0", lambda m: "''" if empty and kept[int(m[1])][0] == "'" else kept[int(m[1])], body)
+    return Query(whole(False), shape=whole(True), **found)
+
 
+def dataframe(spark: SparkSession, text: str, values: list | dict | None = None, strict: bool = True) -> DataFrame:
+    """The query as a lazy, analysed DataFrame; QueryError where it has none. A list gives parameters 1, 2 and so on.
 
-def dataframe(spark: SparkSession, text: str, values: list | dict | None = None) -> DataFrame:
-    """The query as a lazy, analysed DataFrame; QueryError where it has none. A list gives parameters 1, 2 and so on."""
+    EXPLAIN gives the plan as text, in column ``plan``. strict: what lies outside the portable
+    subset is refused (see gate); otherwise Spark's own SQL runs.
+    """
     query = prepare(text)
     args = {f"p{i}": v for i, v in enumerate(values, 1)} if isinstance(values, list) else dict(values or {})
+    if strict and (why := gate.refusal(spark, query.shape)):
+        raise QueryError(*why)
+    body = f"EXPLAIN FORMATTED {query.text}" if query.explain else query.text
     try:
-        return spark.sql(query.text, args=args) if args else spark.sql(query.text)
+        return spark.sql(body, args=args) if args else spark.sql(body)
     except PySparkException as error:
         condition = error.getCondition() or ""
         raise QueryError(CODES.get(condition.split(".")[0], condition or "spark"), str(error).split("\n")[0]) from error
@@ -106,9 +124,3 @@ def bounded(df: DataFrame, most: int = 1000) -> tuple[list, bool]:
     """At most so many rows, for showing, and whether there are more."""
     rows = df.limit(most + 1).collect()
     return rows[:most], len(rows) > most
-
-
-def mode(df: DataFrame, interactive: int = 512 << 20, batch: int = 4 << 30) -> str:
-    """interactive, batch or isolated, by Spark's own estimate of a plan's size in bytes; names a scheduler pool."""
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return "interactive" if size <= interactive else "batch" if size <= batch else "isolated"

@@ -1,15 +1,18 @@
-"""Token-id files: documents' ids in blocks that an adaptive range coder compresses.
+"""Token-id files: documents' ids in blocks that an adaptive context-mixing range coder compresses.
 
 A file row is a segment: whole documents in ascending doc_id order, their ids cut into
 blocks of ``BLOCK``. Each block starts from an empty model and has its own checksum, so
 that one can be read, or found damaged, without another. The blocks of a segment are
 coded side by side: each numpy operation does one step of all of them.
 
-The model of a block predicts the next id from the last two (order 2), from the last one
-(order 1) and from none (order 0). Whether the id is order 2's guess is coded with the mean
-of two adaptive probabilities, one by that guess's record, one by order 1's record and
-whether the two agree; then whether it is order 1's guess, by its record; and else the id
-itself, its magnitude by adaptive frequencies and the rest as it is.
+A block predicts the next id from the last two (order 2), from the last one (order 1) and
+from none (order 0: how often each id stands in the segment, as its index says). Whether the
+id is order 2's guess is coded with a probability that mixes three: by that guess's record, by
+order 1's record and whether it agrees, and by order 0's frequency of the guess; then whether it
+is order 1's guess, by its record and its frequency; and else the id, by order 0 alone. All these
+probabilities adapt within the block, and so do the weights by which they are mixed (in the
+logistic domain, each moved by its share in the error). Only whole numbers are computed, so
+that any machine reads what another wrote.
 """
 
 from __future__ import annotations
@@ -25,82 +28,128 @@ from pyspark.sql import functions as F
 
 from weft.llm import bpe, frames
 
-BLOCK, LANES = 2048, 4096
-MAGIC = 0x31544657
-#: Slots of the guesses of either order, and how fast probabilities follow (a shift).
-_SLOTS, _RATE, _LEAST = 2048, 5, 64
-_WORD, _LOW = np.uint64(1 << 32), np.uint64(0xFFFFFFFF)
-_16, _32 = np.uint64(16), np.uint64(32)
+BLOCK, LANES = 4096, 1024
+MAGIC = 0x32544657
+#: Slots of the guesses of either order, how fast probabilities follow (a shift), bits of order 0's frequencies.
+_SLOTS, _RATE, _LEAST, _BITS = 4096, 5, 64, 20
+_WORD, _LOW, _32 = np.uint64(1 << 32), np.uint64(0xFFFFFFFF), np.uint64(32)
+#: ln(p / (1 - p)) of p in 1/4096, times 256, and back, rounded.
+_STRETCH = np.round(256 * np.log((np.arange(4096) + 0.5) / (4095.5 - np.arange(4096)))).astype(np.int64)
+_SQUASH = np.clip(np.round(4096 / (1 + np.exp(-np.arange(-2047, 2048) / 256))), 1, 4095).astype(np.int64)
+
+
+class Frequencies:
+    """Order 0: the frequency of each id of a segment in 2 ** _BITS, at least 1 where it occurs."""
+
+    def __init__(self, ids: np.ndarray, sizes: np.ndarray):
+        """The ids that occur, in order, and their frequencies."""
+        self.ids, self.sizes = ids.astype(np.int64), sizes.astype(np.int64)
+        self.size = np.zeros(int(ids[-1]) + 2 if len(ids) else 2, np.int64)
+        self.size[self.ids] = self.sizes
+        self.start = np.cumsum(self.size) - self.size
+        self._own = self.start[self.ids]
+        self.level = np.frexp(self.size.astype(np.float64))[1]
+
+    @classmethod
+    def of(cls, ids: np.ndarray) -> Frequencies:
+        found, count = np.unique(ids, return_counts=True)
+        sizes = 1 + count * ((1 << _BITS) - len(found)) // max(len(ids), 1)
+        if len(found):
+            sizes[sizes.argmax()] += (1 << _BITS) - sizes.sum()
+        return cls(found, sizes)
+
+    def at(self, slots: np.ndarray) -> np.ndarray:
+        return self.ids[np.searchsorted(self._own, slots, "right") - 1]
+
+    def pack(self) -> bytes:
+        return zlib.compress(np.concatenate([np.diff(self.ids, prepend=0), self.sizes]).astype("<u4").tobytes(), 6)
+
+    @classmethod
+    def unpack(cls, data: bytes) -> Frequencies:
+        steps, sizes = np.frombuffer(zlib.decompress(data), "<u4").reshape(2, -1).astype(np.int64)
+        return cls(np.cumsum(steps), sizes)
+
+
+class _Mixer:
+    """A binary probability for each of n blocks, mixed from several adaptive ones by weights that adapt."""
+
+    def __init__(self, n: int, contexts: tuple[int, ...]):
+        self.tables = [np.full(n * c, 1 << 15, np.int32) for c in contexts]
+        self.rows = [np.arange(n) * c for c in contexts]
+        self.weights = np.full((len(contexts), n), (1 << 17) // len(contexts) // 2 + (1 << 14), np.int64)
+
+    def chance(self, live: np.ndarray, contexts: tuple[np.ndarray, ...]) -> np.ndarray:
+        """In 1/65536, that the answer is yes; contexts: which entry of each table applies."""
+        self.live = live
+        self.spots = [rows[live] + c for rows, c in zip(self.rows, contexts, strict=True)]
+        self.stretched = [_STRETCH[table[spot] >> 4] for table, spot in zip(self.tables, self.spots, strict=True)]
+        self.own = self.weights[:, live]
+        total = sum(w * x for w, x in zip(self.own, self.stretched, strict=True)) >> 16
+        self.mixed = _SQUASH[np.clip(total, -2047, 2047) + 2047]
+        return np.clip(self.mixed << 4, _LEAST, (1 << 16) - _LEAST)
+
+    def learn(self, yes: np.ndarray) -> None:
+        error = ((yes.astype(np.int64) << 12) - self.mixed) * 6
+        self.weights[:, self.live] = [w + ((x * error + 0x2000) >> 14) for w, x in zip(self.own, self.stretched, strict=True)]
+        full = yes.astype(np.int32) << 16
+        for table, spot in zip(self.tables, self.spots, strict=True):
+            was = table[spot]
+            table[spot] = np.minimum(was + ((full - was) >> _RATE), 65535)
 
 
 class _Model:
     """Predictions for n blocks at once."""
 
-    def __init__(self, n: int):
+    def __init__(self, n: int, order0: Frequencies):
         self.rows = np.arange(n) * _SLOTS
-        self.guess = [np.zeros(n * _SLOTS, np.int32) for _ in range(2)]
+        self.level = order0.level
+        self.none = len(order0.level) - 1  # no guess yet: an id that does not occur
+        self.guess = [np.full(n * _SLOTS, self.none, np.int32) for _ in range(2)]
         self.record = [np.zeros(n * _SLOTS, np.uint8) for _ in range(2)]
-        self.by_two = np.full(n * 4, 1 << 15, np.int32)
-        self.by_both = np.full(n * 8, 1 << 15, np.int32)
-        self.by_one = np.full(n * 4, 1 << 15, np.int32)
-        self.magnitude = np.tile(np.arange(17, dtype=np.int32) * 4096, (n, 1))
-        self.four, self.eight = np.arange(n) * 4, np.arange(n) * 8
+        self.two_right, self.one_right = _Mixer(n, (4, 8, _BITS + 2)), _Mixer(n, (4, _BITS + 2))
         self.last = np.zeros(n, np.int64)
         self.before = np.zeros(n, np.int64)
 
-    def look(self, live: np.ndarray) -> None:
+    def look(self, live: np.ndarray) -> np.ndarray:
+        """How likely order 2's guess is right."""
         last, rows = self.last[live], self.rows[live]
         self.live = live
         self.at = [rows + (last & (_SLOTS - 1)), rows + ((last * 0x9E3B + self.before[live] * 0x5F35) >> 3 & (_SLOTS - 1))]
         self.one, self.two = self.guess[0][self.at[0]], self.guess[1][self.at[1]]
-        one, two = self.record[0][self.at[0]].astype(np.int64), self.record[1][self.at[1]].astype(np.int64)
+        self.records = [self.record[k][self.at[k]] for k in range(2)]
         self.agree = self.one == self.two
-        self.spot_two, self.spot_both, self.spot_one = self.four[live] + two, self.eight[live] + 2 * one + self.agree, self.four[live] + one
-        self.chance_two = np.clip((self.by_two[self.spot_two] + self.by_both[self.spot_both]) >> 1, _LEAST, (1 << 16) - _LEAST)
-        self.chance_one = np.clip(self.by_one[self.spot_one], _LEAST, (1 << 16) - _LEAST)
-
-    def learn(self, ids: np.ndarray, hit_two: np.ndarray, asked: np.ndarray, hit_one: np.ndarray) -> None:
-        """asked: of those looked at, which were asked for order 1's guess; hit_one: what came of it."""
-        full = hit_two.astype(np.int32) << 16
-        for table, spot in ((self.by_two, self.spot_two), (self.by_both, self.spot_both)):
-            was = table[spot]
-            table[spot] = was + ((full - was) >> _RATE)
-        spot = self.spot_one[asked]
-        was = self.by_one[spot]
-        self.by_one[spot] = was + (((hit_one.astype(np.int32) << 16) - was) >> _RATE)
-        for order, known in ((0, self.one), (1, self.two)):
-            at = self.at[order]
-            right = known == ids
-            was = self.record[order][at]
-            self.record[order][at] = np.where(right, np.minimum(was + 1, 3), np.maximum(was, 1) - 1)
-            self.guess[order][at] = np.where(right | (was > 0), known, ids)
+        return self.two_right.chance(live, (self.records[1].astype(np.int64), 2 * self.records[0].astype(np.int64) + self.agree, self.level[self.two]))
+
+    def look_again(self, asked: np.ndarray) -> np.ndarray:
+        """How likely order 1's guess is right, where order 2's was another and wrong; asked: of those looked at, which."""
+        return self.one_right.chance(self.live[asked], (self.records[0][asked].astype(np.int64), self.level[self.one[asked]]))
+
+    def learn(self, ids: np.ndarray, hit: np.ndarray, right: np.ndarray) -> None:
+        self.two_right.learn(hit)
+        self.one_right.learn(right)
+        for k, known in ((0, self.one), (1, self.two)):
+            at, was = self.at[k], self.records[k]
+            same = known == ids
+            self.record[k][at] = np.where(same, np.minimum(was + 1, 3), np.maximum(was, 1) - 1)
+            self.guess[k][at] = np.where(same | (was > 0), known, ids)
         self.before[self.live] = self.last[self.live]
         self.last[self.live] = ids
 
-    def weigh(self, lanes: np.ndarray, size: np.ndarray) -> None:
-        own = self.magnitude[lanes]
-        step = np.arange(17, dtype=np.int32)
-        goal = np.where(step[None, :] > size[:, None], (1 << 16) - (16 - step) * _LEAST, step * _LEAST)
-        own[:, 1:16] += (goal[:, 1:16] - own[:, 1:16]) >> _RATE
-        self.magnitude[lanes] = own
 
+def _sides(yes: np.ndarray, chance: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return np.where(yes, 0, chance), np.where(yes, chance, (1 << 16) - chance)
 
-def _magnitude(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """floor(log2(id + 1)) and what is left of id + 1."""
-    size = np.frexp((ids + 1).astype(np.float64))[1] - 1
-    return size, ids + 1 - (1 << size)
 
-
-def compress(blocks: np.ndarray, sizes: np.ndarray) -> list[bytes]:
-    """blocks: one row of ids (0 to 65,534) each; sizes: how many of a row count, at least 1, not rising from row to row."""
+def compress(blocks: np.ndarray, sizes: np.ndarray, order0: Frequencies) -> list[bytes]:
+    """blocks: one row of ids of order0 each; sizes: how many of a row count, at least 1, not rising from row to row."""
     n = len(sizes)
     low, width = np.zeros(n, np.uint64), np.full(n, 0xFFFFFFFFFFFFFFFF, np.uint64)
     out, fill = np.zeros((n, blocks.shape[1] // 2 + 64), np.uint32), np.zeros(n, np.int64)
-    model = _Model(n)
+    model = _Model(n, order0)
 
-    def emit(lanes, start, size):
+    def emit(lanes, start, size, bits):
         nonlocal out
-        part = width[lanes] >> _16
+        part = width[lanes] >> np.uint64(bits)
         at, wide = low[lanes] + part * start.astype(np.uint64), part * size.astype(np.uint64)
         small = np.flatnonzero(wide < _WORD)
         if len(small):
@@ -117,41 +166,37 @@ def compress(blocks: np.ndarray, sizes: np.ndarray) -> list[bytes]:
     for t in range(int(sizes.max(initial=0))):
         live = np.arange(np.searchsorted(-sizes, -t, "left"))
         ids = blocks[live, t]
-        model.look(live)
+        chance = model.look(live)
         hit = ids == model.two
-        emit(live, np.where(hit, 0, model.chance_two), np.where(hit, model.chance_two, (1 << 16) - model.chance_two))
+        emit(live, *_sides(hit, chance), 16)
         asked = np.flatnonzero(~hit & ~model.agree)
-        right, chance = ids[asked] == model.one[asked], model.chance_one[asked]
-        emit(live[asked], np.where(right, 0, chance), np.where(right, chance, (1 << 16) - chance))
+        chance = model.look_again(asked)
+        right = ids[asked] == model.one[asked]
+        emit(live[asked], *_sides(right, chance), 16)
         plain = ~hit
         plain[asked[right]] = False
         plain = np.flatnonzero(plain)
-        size, rest = _magnitude(ids[plain])
-        lanes = live[plain]
-        start = model.magnitude[lanes, size]
-        emit(lanes, start, model.magnitude[lanes, size + 1] - start)
-        emit(lanes, rest << (16 - size), np.int64(1) << (16 - size))
-        model.weigh(lanes, size)
-        model.learn(ids, hit, asked, right)
+        emit(live[plain], order0.start[ids[plain]], order0.size[ids[plain]], _BITS)
+        model.learn(ids, hit, right)
     tail = np.stack([low >> _32, low & _LOW], 1).astype("<u4")
     return [np.append(out[i, : fill[i]].astype("<u4"), tail[i]).tobytes() for i in range(n)]
 
 
-def expand(payloads: list[bytes], sizes: np.ndarray) -> np.ndarray:
+def expand(payloads: list[bytes], sizes: np.ndarray, order0: Frequencies) -> np.ndarray:
     """The ids of compress() again; a payload that is too short reads as if zeros followed."""
     n = len(payloads)
     most = max((len(p) // 4 for p in payloads), default=0) + 2
-    words = np.zeros((n, most), np.uint64)
+    words = np.zeros((n, most), np.uint32)
     for i, p in enumerate(payloads):
         own = np.frombuffer(p, "<u4", len(p) // 4)
         words[i, : len(own)] = own
-    code, low, width = words[:, 0] << _32 | words[:, 1], np.zeros(n, np.uint64), np.full(n, 0xFFFFFFFFFFFFFFFF, np.uint64)
+    code, low, width = words[:, 0].astype(np.uint64) << _32 | words[:, 1], np.zeros(n, np.uint64), np.full(n, 0xFFFFFFFFFFFFFFFF, np.uint64)
     taken = np.full(n, 2)
-    blocks = np.zeros((n, int(sizes.max(initial=0))), np.int64)
-    model = _Model(n)
+    blocks = np.zeros((n, int(sizes.max(initial=0))), np.int32)
+    model = _Model(n, order0)
 
-    def take(lanes, start, size):
-        part = width[lanes] >> _16
+    def take(lanes, start, size, bits):
+        part = width[lanes] >> np.uint64(bits)
         at, wide = low[lanes] + part * start.astype(np.uint64), part * size.astype(np.uint64)
         small = np.flatnonzero(wide < _WORD)
         if len(small):
@@ -164,34 +209,25 @@ def expand(payloads: list[bytes], sizes: np.ndarray) -> np.ndarray:
         low[lanes], width[lanes] = at, wide
 
     def asks(lanes, chance):
-        yes = code[lanes] - low[lanes] < (width[lanes] >> _16) * chance.astype(np.uint64)
-        take(lanes, np.where(yes, 0, chance), np.where(yes, chance, (1 << 16) - chance))
+        yes = code[lanes] - low[lanes] < (width[lanes] >> np.uint64(16)) * chance.astype(np.uint64)
+        take(lanes, *_sides(yes, chance), 16)
         return yes
 
-    def slot(lanes):
-        return np.minimum((code[lanes] - low[lanes]) // np.maximum(width[lanes] >> _16, np.uint64(1)), np.uint64(65535)).astype(np.int64)
-
     for t in range(blocks.shape[1]):
         live = np.arange(np.searchsorted(-sizes, -t, "left"))
-        model.look(live)
-        hit = asks(live, model.chance_two)
+        hit = asks(live, model.look(live))
         ids = model.two.astype(np.int64)
         asked = np.flatnonzero(~hit & ~model.agree)
-        right = asks(live[asked], model.chance_one[asked])
+        right = asks(live[asked], model.look_again(asked))
         ids[asked] = model.one[asked]
         plain = ~hit
         plain[asked[right]] = False
         plain = np.flatnonzero(plain)
         lanes = live[plain]
-        table = model.magnitude[lanes]
-        size = (table[:, 1:16] <= slot(lanes)[:, None]).sum(1)
-        start = model.magnitude[lanes, size]
-        take(lanes, start, model.magnitude[lanes, size + 1] - start)
-        rest = slot(lanes) >> (16 - size)
-        take(lanes, rest << (16 - size), np.int64(1) << (16 - size))
-        ids[plain] = (1 << size) + rest - 1
-        model.weigh(lanes, size)
-        model.learn(ids, hit, asked, right)
+        slot = np.minimum((code[lanes] - low[lanes]) // np.maximum(width[lanes] >> np.uint64(_BITS), np.uint64(1)), np.uint64((1 << _BITS) - 1)).astype(np.int64)
+        ids[plain] = order0.at(slot)
+        take(lanes, order0.start[ids[plain]], order0.size[ids[plain]], _BITS)
+        model.learn(ids, hit, right)
         blocks[live, t] = ids
     return blocks
 
@@ -204,32 +240,35 @@ def _block_sizes(n: int) -> np.ndarray:
 
 
 def write_segment(doc_ids: np.ndarray, lengths: np.ndarray, ids: np.ndarray) -> bytes:
-    """Documents and their ids as one segment: header, index, block table with checksums, blocks."""
+    """Documents and their ids as one segment: header, index (with order 0 and each block's size and checksum), blocks."""
     sizes = _block_sizes(len(ids))
-    blocks = np.zeros((len(sizes), BLOCK), np.int64)
+    blocks = np.zeros((len(sizes), BLOCK), np.int32)
     blocks.ravel()[: len(ids)] = ids
-    payloads = [p for at in range(0, len(sizes), LANES) for p in compress(blocks[at : at + LANES], sizes[at : at + LANES])]
+    order0 = Frequencies.of(ids)
+    payloads = [p for at in range(0, len(sizes), LANES) for p in compress(blocks[at : at + LANES], sizes[at : at + LANES], order0)]
     flat = ids.astype("<u4")
     sums = [zlib.crc32(flat[at : at + BLOCK].tobytes()) for at in range(0, len(ids), BLOCK)]
-    body = b"".join([np.array(doc_ids, "<i8").tobytes(), np.array(lengths, "<i8").tobytes(), np.array(list(map(len, payloads)), "<u4").tobytes(), np.array(sums, "<u4").tobytes()])
-    head = np.array([MAGIC, len(doc_ids), len(sizes), zlib.crc32(body)], "<u4").tobytes()
+    known = order0.pack()
+    body = b"".join([np.array(doc_ids, "<i8").tobytes(), np.array(lengths, "<i8").tobytes(), np.array(list(map(len, payloads)), "<u4").tobytes(), np.array(sums, "<u4").tobytes(), known])
+    head = np.array([MAGIC, len(doc_ids), len(sizes), len(known), zlib.crc32(body)], "<u4").tobytes()
     return head + body + b"".join(payloads)
 
 
 def read_segment(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """doc_ids, lengths and ids of a segment; ValueError where a checksum doesn't hold."""
-    magic, docs, count, check = np.frombuffer(data, "<u4", 4).tolist()
-    end = 16 + 16 * docs + 8 * count
-    if magic != MAGIC or zlib.crc32(data[16:end]) != check:
+    magic, docs, count, known, check = np.frombuffer(data, "<u4", 5).tolist()
+    end = 20 + 16 * docs + 8 * count
+    if magic != MAGIC or zlib.crc32(data[20 : end + known]) != check:
         raise ValueError("damaged index of a token segment")
-    doc_ids, lengths = np.frombuffer(data, "<i8", docs, 16), np.frombuffer(data, "<i8", docs, 16 + 8 * docs)
-    long, sums = np.frombuffer(data, "<u4", count, 16 + 16 * docs), np.frombuffer(data, "<u4", count, 16 + 16 * docs + 4 * count)
-    bounds = end + np.append(0, np.cumsum(long, dtype=np.int64))
+    doc_ids, lengths = np.frombuffer(data, "<i8", docs, 20), np.frombuffer(data, "<i8", docs, 20 + 8 * docs)
+    long, sums = np.frombuffer(data, "<u4", count, 20 + 16 * docs), np.frombuffer(data, "<u4", count, 20 + 16 * docs + 4 * count)
+    order0 = Frequencies.unpack(data[end : end + known])
+    bounds = end + known + np.append(0, np.cumsum(long, dtype=np.int64))
     sizes = _block_sizes(int(lengths.sum()))
     payloads = [data[a:b] for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
     parts = []
     for at in range(0, count, LANES):
-        blocks = expand(payloads[at : at + LANES], sizes[at : at + LANES])
+        blocks = expand(payloads[at : at + LANES], sizes[at : at + LANES], order0)
         for row, size, check in zip(blocks, sizes[at : at + LANES].tolist(), sums[at : at + LANES].tolist(), strict=True):
             part = row[:size].astype("<u4")
             if zlib.crc32(part.tobytes()) != check:
@@ -301,7 +340,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, pattern: str, end_id: int
             for at in range(0, batch.num_rows, 128):
                 part = batch.column(3)[at].as_py()
                 found, bounds = encoder.encode(frames.unpack(batch.column(2)[at : at + 128]).to_pylist())
-                ids.append(np.insert(found.astype(np.int64), bounds[1:], end_id))
+                ids.append(np.insert(found.astype(np.int32), bounds[1:], end_id))
                 lengths.append(np.diff(bounds) + 1)
                 keys.append(own[at : at + 128])
                 held += len(ids[-1])

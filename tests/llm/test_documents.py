@@ -48,6 +48,22 @@ def test_languages_of_nothing(odd):
     assert sorted((r.lang_pred, r.rejected) for r in langid.predicted(docs, langid.fit(docs)).collect()) == [("und", True), ("und", True)]
 
 
+def test_other_numerals_are_no_letters(odd):
+    """Only category L counts as a letter; a text of other numerals and marks is und, and a very long one is read whole."""
+    import unicodedata
+
+    assert [len(langid.characters(t)) for t in ("½ ²", "Ⅷ ① _ 3", "", None)] == [0, 0, 0, 0]
+    for t in ("aé½b", "日本Ⅷ語", "ª٣x"):
+        letters = [c for c in t if unicodedata.category(c)[0] == "L"]
+        assert len([c for c in langid.characters(t) if chr(c) != " "]) == len(letters)
+    models = langid.fit(odd(language_rows()))
+    long = language_rows()[0][1] + " "
+    long = long * (600_000 // len(long))
+    docs = odd([(1, "½ ²"), (2, "Ⅷ ①"), (3, long), (3, long), (4, None)])
+    got = sorted((r.doc_id, r.lang_pred, r.score > 0) for r in langid.predicted(docs, models).collect())
+    assert got == [(1, "und", False), (2, "und", False), (3, language_rows()[0][2], True), (3, language_rows()[0][2], True), (4, "und", False)]
+
+
 def test_probabilities_sum_to_one(odd):
     """An interpolated model gives the characters after any context a total of 1, unseen ones of the alphabet included."""
     models = langid.fit(odd(language_rows()))
@@ -124,6 +140,19 @@ def brute_counts(line):
     return len(w), sum(map(len, w)), sum(line.count(c) for c in "#*$%&|<>"), dup, sum(again)
 
 
+def test_toxicity_of_odd_tables(spark, odd):
+    """Empty tables give an empty lexicon and result; repeated rows and very long texts are scored each, whole."""
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, toxic int")
+    docs = odd([(i, "you are a blorf today" if i % 2 else "a fine day it is") for i in range(40)])
+    model = toxicity.fit(docs, labels)
+    long = "a fine day it is. " * 40_000
+    rows = odd([(1, long + "you are a blorf."), (1, long + "you are a blorf."), (2, long), (3, None), (4, "")])
+    got = sorted((r.doc_id, sum(r.counts)) for r in toxicity.scored(rows, model).collect())
+    assert got == [(1, got[0][1]), (1, got[0][1]), (2, 0), (3, 0), (4, 0)] and got[0][1] > 0
+    nothing = toxicity.fit(docs.where("doc_id < 0"), labels.where("doc_id < 0"))
+    assert nothing.lexicon == {} and toxicity.scored(docs.where("doc_id < 0"), nothing).collect() == []
+
+
 def test_quality_counts(spark, odd, corpus):
     rows = [*corpus, (70, "a\n a\na\n\n\na\r\na"), (71, "#*$%&|<> é日 <b>"), (72, "\x1cfoo\x85bar\xa0baz"), (73, "x y z x y z\nx y z")]
     docs = odd(rows)

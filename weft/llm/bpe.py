@@ -205,15 +205,6 @@ class Encoder(Remembering):
             at = to
 
 
-    def size(self, word: str) -> int:
-        """How many ids one pre-token has."""
-        piece = word.encode()
-        if piece in self.ranks:
-            return 1
-        codes = [a << 8 | b for a, b in zip(piece, piece[1:])]
-        return len(self.merge(piece, self._first[codes].tolist()))
-
-
 def _gather(flat: np.ndarray, start: np.ndarray, length: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """flat[start[w] : start[w] + length[w]] for each w of which, after each other, and the bounds."""
     own = length[which]
@@ -250,36 +241,6 @@ def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     return frames.arrow_map(frames.keyed(docs), each, "doc_id long, ids array<int>")
 
 
-class _Sizes(dict):
-    """How many ids a pre-token has, of those met lately."""
-
-    def __init__(self, encoder: Encoder):
-        super().__init__()
-        self._encoder = encoder
-
-    def __missing__(self, word: str) -> int:
-        if len(self) >= REMEMBERED:
-            self.clear()
-        self[word] = size = self._encoder.size(word)
-        return size
-
-
-@lru_cache(2)
-def _sizes(path: str, pattern: str) -> _Sizes:
-    return _Sizes(encoder(path, pattern))
-
-
-def counts(docs: DataFrame, path: str, pattern: str) -> DataFrame:
-    """doc_id, n_ids of every row of docs: how many ids encode() gives; null of a null text."""
-
-    def each(batch):
-        own, split = _sizes(path, pattern), encoder(path, pattern).split
-        sizes = [None if (t := x.as_py()) is None else sum(map(own.__getitem__, split(t))) for x in batch.column(2)]
-        yield pa.record_batch([batch.column(1), pa.array(sizes, pa.int64())], ["doc_id", "n_ids"])
-
-    return frames.arrow_map(frames.keyed(docs), each, "doc_id long, n_ids long")
-
-
 def decode(encoded: DataFrame, path: str) -> DataFrame:
     """encoded (doc_id, ids) with the bytes that the ids stand for, as binary ``decoded``; null ids have none."""
 

@@ -18,7 +18,6 @@ import unicodedata
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -28,6 +27,7 @@ from weft.llm import frames, text
 ORDER = 4
 #: Documents of a language that a model is fitted to, at most (those of least hash), and every how many-th is left for calibration.
 FIT_DOCS, CALIBRATE = 800, 4
+#: What is taken off each count, and the characters that a text may have at least (twice those met, if these are more).
 DISCOUNT, ALPHABET = 0.75, 5000
 #: Nats a character above nearly all known documents of the language, from which on a text is rejected.
 MARGIN, TAIL = 1.5, 0.999
@@ -120,20 +120,21 @@ def _find(array: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return array[where] == values, where
 
 
-def _kneser_ney(counts: pd.DataFrame, languages: list[str]) -> Models:
+def _kneser_ney(counts: dict[str, np.ndarray], languages: list[str]) -> Models:
     """counts: language (its index), order, gram, context, suffix (hashes), n."""
+    of_order = {n: {c: x[counts["order"] == n] for c, x in counts.items()} for n in range(1, ORDER + 1)}
     width = len(languages)
     grams, logs, contexts, backs = [], [], [], []
     lower = floor = None
     for order in range(1, ORDER + 1):
-        own = counts[counts["order"] == order]
-        names, first = np.unique(own["gram"].to_numpy(np.uint64), return_index=True)
-        context, suffix = own["context"].to_numpy(np.uint64)[first], own["suffix"].to_numpy(np.uint64)[first]
+        own = of_order[order]
+        names, first = np.unique(own["gram"], return_index=True)
+        context, suffix = own["context"][first], own["suffix"][first]
         if order < ORDER:  # how many characters come before
-            higher = counts[counts["order"] == order + 1]
-            value, lang, n = higher["suffix"].to_numpy(np.uint64), higher["language"].to_numpy(), np.ones(len(higher))
+            higher = of_order[order + 1]
+            value, lang, n = higher["suffix"], higher["language"], np.ones(len(higher["suffix"]))
         else:
-            value, lang, n = own["gram"].to_numpy(np.uint64), own["language"].to_numpy(), own["n"].to_numpy(float)
+            value, lang, n = own["gram"], own["language"], own["n"].astype(float)
         table = np.zeros((len(names), width))
         found, where = _find(names, value)
         np.add.at(table, (where[found], lang[found]), n[found])
@@ -146,7 +147,8 @@ def _kneser_ney(counts: pd.DataFrame, languages: list[str]) -> Models:
             back = np.where(total > 0, DISCOUNT * kinds / np.maximum(total, 1), 1.0)
             direct = np.where(total[head] > 0, np.maximum(table - DISCOUNT, 0) / np.maximum(total[head], 1), 0)
         if order == 1:
-            floor = back[0] / ALPHABET if len(heads) else np.full(width, 1 / ALPHABET)
+            alphabet = max(ALPHABET, 2 * len(names))
+            floor = back[0] / alphabet if len(heads) else np.full(width, 1 / alphabet)
             base = np.broadcast_to(floor, table.shape)
         else:
             ok, where = _find(grams[-1], suffix)
@@ -168,7 +170,8 @@ def fit(docs: DataFrame, fit_docs: int = FIT_DOCS) -> Models:
     """Models of each value of lang, from documents that are not held out (doc_id, text, lang; others are ignored).
 
     Of each language the ``fit_docs`` documents of least hash are read, whole; the bound
-    is on what is fitted. Null or empty languages and texts without letters teach nothing.
+    is on what is fitted. Null or empty languages and texts without letters teach nothing; a row
+    that is there several times may be read as often. Of an empty table there is no language.
     """
     known = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang").where(~held_out(F.col("doc_id")) & F.col("text").rlike(r"\p{L}") & (F.col("lang") != ""))
     draw = F.xxhash64("doc_id", "text")
@@ -196,20 +199,41 @@ def fit(docs: DataFrame, fit_docs: int = FIT_DOCS) -> Models:
                 yield pa.record_batch([pa.array(np.full(len(at), index[batch.column(1)[i].as_py()])), pa.array(np.full(len(at), n)), *(pa.array(text.signed(x)) for x in (gram, context, suffix)), pa.array(count)], ["language", "order", "gram", "context", "suffix", "n"])
 
     raw = frames.arrow_map(chosen.where(F.col("rank") % CALIBRATE != 0).select("text", "lang"), count, "language long, order long, gram long, context long, suffix long, n long")
-    summed = raw.groupBy("language", "order", "gram").agg(F.first("context").alias("context"), F.first("suffix").alias("suffix"), F.sum("n").alias("n")).toPandas()
-    for c in ("gram", "context", "suffix"):
-        summed[c] = summed[c].to_numpy(np.int64).view(np.uint64)
-    models = _kneser_ney(summed, languages)
-    kept = chosen.where(F.col("rank") % CALIBRATE == 0).select("text", "lang").toPandas().sort_values(["lang", "text"])
-    return _calibrated(models, kept)
-
-
-def _calibrated(models: Models, known: pd.DataFrame) -> Models:
+    summed = raw.groupBy("language", "order", "gram").agg(F.first("context").alias("context"), F.first("suffix").alias("suffix"), F.sum("n").alias("n")).toArrow()
+    counts = {c: summed.column(c).to_numpy() for c in summed.column_names}
+    models = _kneser_ney(counts | {c: text.unsigned(counts[c]) for c in ("gram", "context", "suffix")}, languages)
+    return _calibrated(models, chosen.where(F.col("rank") % CALIBRATE == 0).select("text", "lang"))
+
+
+def _slices(lines: list[str | None], most: int = 400_000):
+    """Ranges of lines of so many characters together, or of one line."""
+    at = 0
+    while at < len(lines):
+        to, size = at, 0
+        while to < len(lines) and (to == at or size + len(lines[to] or "") <= most):
+            size += len(lines[to] or "")
+            to += 1
+        yield at, to
+        at = to
+
+
+def _calibrated(models: Models, known: DataFrame) -> Models:
+    """models with sharpness and limits from texts of known languages that it was not fitted to; only their entropies come to the driver."""
     models.limit = np.full(len(models.languages), np.inf)
-    if not len(known):
+    held = known.sparkSession.sparkContext.broadcast(models)
+
+    def each(batch):
+        lines = batch.column(0).to_pylist()
+        for at, to in _slices(lines):
+            size, nats = held.value.entropies(lines[at:to])
+            yield pa.record_batch([batch.column(1)[at:to], pa.array(size), pa.array(list(nats), pa.list_(pa.float64()))], ["lang", "size", "nats"])
+
+    rows = sorted(map(tuple, frames.arrow_map(known, each, "lang string, size long, nats array<double>").collect())) if models.languages else []
+    held.destroy()
+    if not rows:
         return models
-    size, nats = models.entropies(known["text"].tolist())
-    truth = np.array([models.languages.index(x) for x in known["lang"]])
+    size, nats = np.array([r[1] for r in rows]), np.array([r[2] for r in rows])
+    truth = np.array([models.languages.index(r[0]) for r in rows])
     own = nats[np.arange(len(truth)), truth]
     for i in range(len(models.languages)):
         if (truth == i).any():
@@ -234,15 +258,9 @@ def predicted(docs: DataFrame, models: Models) -> DataFrame:
 
     def each(batch):
         lines = batch.column(1).to_pylist()
-        at = 0
-        while at < len(lines):
-            to, size = at, 0
-            while to < len(lines) and (to == at or size + len(lines[to] or "") <= 400_000):
-                size += len(lines[to] or "")
-                to += 1
+        for at, to in _slices(lines):
             names, score, far = held.value.predict(lines[at:to])
             yield pa.record_batch([batch.column(0)[at:to], batch.column(2)[at:to], pa.array(names, pa.string()), pa.array(score), pa.array(far)], ["doc_id", "held_out", "lang_pred", "score", "rejected"])
-            at = to
 
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("held_out", held_out(F.col("doc_id")))
     return frames.arrow_map(source, each, "doc_id long, held_out boolean, lang_pred string, score double, rejected boolean")
@@ -256,8 +274,8 @@ def accepted(docs: DataFrame, models: Models) -> DataFrame:
     def each(batch):
         lines = batch.column(text_at).to_pylist()
         stay = []
-        for at in range(0, len(lines), 64):
-            stay += (~held.value.predict(lines[at : at + 64])[2]).tolist()
+        for at, to in _slices(lines):
+            stay += (~held.value.predict(lines[at:to])[2]).tolist()
         yield batch.filter(pa.array(stay, pa.bool_()))
 
     return frames.arrow_map(docs, each, docs.schema)

@@ -14,9 +14,14 @@ The plan's size, and so what the driver holds, depends on the longest sequence a
 
 from __future__ import annotations
 
+import base64
+import re
 from bisect import bisect_left, insort
 from dataclasses import dataclass
+from functools import lru_cache
 
+import pyarrow as pa
+import tiktoken
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -24,6 +29,8 @@ from weft.llm import bpe, frames
 
 #: Permitted sequence lengths in tokens, and what a sequence costs besides its length, in tokens.
 CAPACITIES, OVERHEAD = (512, 1024, 2048, 4096, 8192), 24
+LONG_RUN = 4000
+_LONG_RUN = re.compile(rf"\S{{{LONG_RUN}}}|\s{{{LONG_RUN}}}")
 
 
 @dataclass
@@ -161,9 +168,39 @@ def packed(docs: DataFrame, tokens: Column | None = None, capacities: tuple[int,
     return placed.select("doc_id", "piece", "length", (F.col("s.first_bin") + F.floor(at / F.col("s.each"))).cast("long").alias("bin"), (F.col("s.first_start") + at % F.col("s.each") * F.col("length")).cast("long").alias("start"), "s.bin_size", "s.bin_used")
 
 
+@lru_cache(2)
+def _library(path: str, pattern: str) -> tiktoken.Encoding:
+    """One a worker process."""
+    with open(path, "rb") as file:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, file)}
+    return tiktoken.Encoding("packing", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+
+
+def id_counts(docs: DataFrame, path: str, pattern: str) -> DataFrame:
+    """doc_id, n_ids of every row of docs: how many ids the ranks in a file give its text, none of them special; null of a null text.
+
+    The library counts, but texts with a run of LONG_RUN characters without space, which it may
+    merge in quadratic time, go to the encoder of this package.
+    """
+
+    def each(batch):
+        own, sizes = _library(path, pattern), []
+        for x in batch.column(2):
+            line = x.as_py()
+            if line is None:
+                sizes.append(None)
+            elif _LONG_RUN.search(line):
+                sizes.append(len(bpe.encoder(path, pattern).encode([line])[0]))
+            else:
+                sizes.append(len(own.encode_ordinary(line)))
+        yield pa.record_batch([batch.column(1), pa.array(sizes, pa.int64())], ["doc_id", "n_ids"])
+
+    return frames.arrow_map(frames.keyed(docs), each, "doc_id long, n_ids long")
+
+
 def packed_ids(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """packed() by the ids that a rank file gives each text, and one end mark; none of a null text.
 
     The counts are written first, as packed() reads its table several times.
     """
-    return packed(frames.stored(bpe.counts(docs, path, pattern)), F.col("n_ids") + 1)
+    return packed(frames.stored(id_counts(docs, path, pattern)), F.col("n_ids") + 1)

@@ -166,6 +166,28 @@ def test_quality_counts(spark, odd, corpus):
     assert quality.judged(docs.where("doc_id = -1"), trees).collect() == []
 
 
+def test_verdicts_by_walking_the_trees(spark, odd, corpus):
+    """kept is what each tree's path, walked node by node, says."""
+    rows = [*corpus, *((200 + i, " ".join(f"w{(i * k) % (7 + i)}" for k in range(60 + i))) for i in range(40))]
+    docs = odd(rows)
+    labels = spark.createDataFrame([(200 + i, int(i % 3 > 0)) for i in range(40)] + [(i, 1) for i in range(12)], "doc_id long, quality int")
+    trees = quality.fit(docs, labels)
+    assert len(trees.feature)
+    features = {}
+    for r in quality.measured(docs).collect():
+        features.setdefault((r.doc_id, r.n_words, r.word_chars), np.array(r.features, np.float32))
+    for r in quality.judged(docs, trees).collect():
+        x, total = features[r.doc_id, r.n_words, r.word_chars], trees.base
+        for t in range(len(trees.feature)):
+            node, before = 0, None
+            while node != before:
+                before = node
+                node = (trees.left if x[trees.feature[t, node]] <= trees.cut[t, node] else trees.right)[t, node]
+            total += trees.value[t, node]
+        chance = 1 / (1 + np.exp(-total))
+        assert abs(chance - r.quality) < 1e-9 and r.kept == (not r.base_failed and chance >= quality.KEEP)
+
+
 def test_trees_learn_and_hold_their_signs():
     draw = np.random.default_rng(2)
     x = draw.random((3000, 3)).astype(np.float32)
@@ -197,6 +219,49 @@ def test_chains_do_not_depend_on_neighbours():
     assert [len(x) > 0 for x in together] == [len(t) > 0 for t in texts]
 
 
+def test_features_and_likeness_by_hand():
+    """Features are the windows that are rarest in some run of neighbours; chains and likeness follow from their bits."""
+    from weft.llm import text
+
+    f, rank = fingerprint, np.random.default_rng(5).permutation(fingerprint.LEVELS)
+    draw = np.random.default_rng(6)
+    texts = [bytes(draw.integers(97, 101, n, dtype=np.uint8)) for n in (0, 3, f.SPAN, f.SPAN + 5, f.SPAN + f.REACH + 40, 5000, 9000)]
+    chains = f.chains(texts, rank)
+    for t, chain in zip(texts, chains, strict=True):
+        data = np.frombuffer(t, np.uint8)
+        n = len(t) - f.SPAN + 1
+        if n < 1:
+            assert len(chain) == (1 if t else 0)
+            continue
+        prints, level = text.sequences(text.mix(text._BYTE[data]), f.SPAN), f.levels(data)
+        key = [(int(rank[level[i]]) << 48) | (int(prints[i]) >> 16) for i in range(n)]
+        if n < f.REACH:
+            chosen = [key.index(min(key))]
+        else:
+            chosen = sorted({i for s in range(n - f.REACH + 1) for i in range(s, s + f.REACH) if key[i] == min(key[s : s + f.REACH])})
+        want = []
+        for at in range(0, len(chosen), f.FULL):
+            bits = np.zeros(f.BITS, bool)
+            for i in chosen[at : at + f.FULL]:
+                for k in range(f.MARKS):
+                    bits[(int(prints[i]) >> 10 * k) & (f.BITS - 1)] = True
+            want.append(np.packbits(bits))
+        assert np.array_equal(chain, np.array(want))
+    for x in chains[3:]:
+        for y in chains[3:]:
+            a, b = (x, y) if len(x) <= len(y) else (y, x)
+            total = weight = 0.0
+            for u in np.unpackbits(a, axis=1).astype(int):
+                best = 0.0
+                for v in np.unpackbits(b, axis=1).astype(int):
+                    p, q, common = u.sum(), v.sum(), (u & v).sum()
+                    most, chance = min(p, q), p * q / f.BITS
+                    chance = min(chance + 2 * (chance * (1 - max(p, q) / f.BITS)) ** 0.5, most)
+                    best = max(best, min(max((common - chance) / max(most - chance, 1e-9), 0), 1))
+                total, weight = total + best * u.sum(), weight + u.sum()
+            assert abs(f.likeness(x, y) - total / weight) < 1e-9
+
+
 def test_fingerprints(odd, corpus):
     rows = [r for r in corpus if r[0] != 50]
     got = {r.doc_id: r for r in fingerprint.compared(odd(rows)).collect()}

@@ -191,7 +191,6 @@ def repeats(docs: DataFrame, window: int = WINDOW, prefix: int = PREFIX, rest: b
 
     marks = frames.arrow_map(frames.keyed(docs), census, "label long, _k long, places long")
     known = marks.groupBy("label").agg(F.min("_k").alias("_k"), F.sum("places").alias("places")).where(f"places = 1 or places > {group}")
-    known = frames.stored(known)
     leaves = known.where("places = 1").groupBy("_k").agg(F.collect_list("label").alias("leaves"))
     long = known.where(f"places > {group}").select("label")
     extended = marks.join(long, "label").groupBy("_k").agg(F.collect_set("label").alias("extended"))
@@ -224,10 +223,17 @@ def repeats(docs: DataFrame, window: int = WINDOW, prefix: int = PREFIX, rest: b
             yield _first_suffixes(groups, window)
 
     def longest(batch):
+        """The first suffix in the batch of each whole window whose prefix is extended."""
+        parts = []
         for run, keys, doc, at, _, _, far in picked(batch):
             d, w, hashes = doc[far], at[far], run.word_hashes()
-            node, check = text.sequences(hashes, window)[w], text.sequences(hashes, window, 1)[w]
-            yield pa.record_batch([pa.array(text.signed(node)), pa.array((check >> np.uint64(32)).astype(np.uint32).view(np.int32)), pa.array(keys[d]), pa.array(w - run.words[d])], ["node", "check", "_k", "start"])
+            parts.append((text.sequences(hashes, window)[w], text.sequences(hashes, window, 1)[w] >> np.uint64(32), keys[d], w - run.words[d]))
+        node, check, k, start = (np.concatenate(x) for x in zip(*parts, strict=True))
+        order = np.lexsort((start, k, check, node))
+        node, check, k, start = node[order], check[order], k[order], start[order]
+        new = np.ones(len(order), bool)
+        new[1:] = (node[1:] != node[:-1]) | (check[1:] != check[:-1])
+        yield pa.record_batch([pa.array(text.signed(node[new])), pa.array(check[new].astype(np.uint32).view(np.int32)), pa.array(k[new]), pa.array(start[new])], ["node", "check", "_k", "start"])
 
     grouped = frames.arrow_map(held.select("_k", "doc_id", "packed", "leaves", "extended"), places, "label long, _k long, start long, windows int, words binary")
     inner = grouped.repartition("label").sortWithinPartitions("label").mapInArrow(trees, "_k long, start long")

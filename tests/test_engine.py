@@ -85,7 +85,7 @@ def test_explain_shows_the_plan(spark):
         ("SELECT a, COUNT(*) FROM t GROUP BY ALL", "QF0012"), ("SELECT a, COUNT(*) FROM t GROUP BY ROLLUP(a)", "QF0012"), ("SELECT a, COUNT(*) FROM t GROUP BY a WITH CUBE", "QF0012"), ("SELECT a, COUNT(*) FROM t GROUP BY GROUPING SETS ((a), ())", "QF0012"),
         ("SELECT SUM(a) OVER (ORDER BY a ROWS BETWEEN 1 PRECEDING AND CURRENT ROW) FROM t", "QF0000"), ("SELECT SUM(a) OVER w FROM t WINDOW w AS (ORDER BY a)", "QF0000"), ("SELECT PERCENTILE_CONT(0.5) WITHIN GROUP (ORDER BY a) FROM t", "QF0000"), ("SELECT FIRST_VALUE(a) IGNORE NULLS OVER (ORDER BY a) FROM t", "QF0000"),
         ("SELECT a FROM t ORDER BY ALL", "QF0000"), ("FROM t |> WHERE a > 1", "QF0000"), ("SELECT a FROM t SORT BY a", "QF0000"), ("INSERT INTO t VALUES (1)", "QF0000"), ("SELECT a FROM (" * 80 + "SELECT a FROM t" + ") AS d" * 80, "budget"),
-        ("SELECT 1 FROM t " + " ".join(f"JOIN t AS t{i} ON TRUE" for i in range(20)), "budget"),
+        ("SELECT 1 FROM t " + " ".join(f"JOIN t AS t{i} ON TRUE" for i in range(300)), "budget"), ("SELECT " + ", ".join("1" for _ in range(6000)), "budget"),
     ],
 )
 def test_outside_the_subset(spark, text, code):
@@ -98,3 +98,15 @@ def test_the_subset_passes_the_gate(spark):
     for text in ("SELECT 'x UNION y', 'WITHIN GROUP', 'rollup(Vector' AS a", "SELECT a, COUNT(*) FROM VALUES (1) AS t(a) GROUP BY a", "SELECT a FROM VALUES (1) AS t(a) UNION ALL SELECT 2", "SELECT SUM(a) OVER (ORDER BY a) FROM VALUES (1) AS t(a)", "SELECT DISTINCT a FROM (SELECT 1 AS a UNION ALL SELECT 1) AS d"):
         engine.dataframe(spark, text)
     assert engine.dataframe(spark, "SELECT a FROM VALUES (1) AS t(a) INTERSECT SELECT 1", strict=False).count() == 1
+
+
+def test_query_hash():
+    """Spacing, comments and directives do not count; names and literals do."""
+    same = {engine.query_hash(t) for t in ("SELECT a FROM t", "SELECT  a\nFROM t -- note", "SELECT a FROM t\nSCOPE local")}
+    assert len(same) == 1 and next(iter(same)).startswith("sha2-256:")
+    assert engine.query_hash("SELECT 'a  b'") != engine.query_hash("SELECT 'a b'")
+
+
+def test_bounded_by_bytes(spark):
+    rows, more = engine.bounded(spark.range(100), 50, most_bytes=20)
+    assert 1 <= len(rows) < 50 and more

@@ -39,3 +39,16 @@ def visible(resources: DataFrame, log: DataFrame, deleted: str = "deleted", rest
 def numbered(log: DataFrame, by: str) -> DataFrame:
     """Each entry's number within its resource's history."""
     return log.withColumn("number", F.row_number().over(Window.partitionBy(by).orderBy("at", "seq")).cast("long"))
+
+
+def import_plan(bundle: DataFrame, present: DataFrame) -> DataFrame:
+    """bundle (path, digest, rows) with ``action``: add what present (the same columns) lacks, keep what is equal there, refuse what differs."""
+    have = present.groupBy("path").agg(F.max(F.struct("digest", "rows")).alias("have"))
+    same = (F.col("have.digest") == F.col("digest")) & (F.col("have.rows") == F.col("rows"))
+    action = F.when(F.col("have").isNull(), "add").when(same, "keep").otherwise("refuse")
+    return bundle.join(have, "path", "left").select("path", "digest", "rows", action.alias("action"))
+
+
+def import_new(rows: DataFrame, receipts: DataFrame, key: str) -> DataFrame:
+    """The rows whose import key no receipt has yet, so that a repeated import adds nothing."""
+    return rows.join(receipts.select(key).distinct(), key, "left_anti")

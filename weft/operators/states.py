@@ -34,3 +34,22 @@ def merge(states: DataFrame, keys: list[str], *merges: str) -> DataFrame:
     varpop = F.try_divide("spread", "n")
     out = {"count": F.coalesce("n", F.lit(0)).cast("long"), "sum": F.col("sum"), "avg": F.try_divide("sum", "n"), "min": F.col("min"), "max": F.col("max"), "varpop": varpop, "stddevpop": F.sqrt(varpop)}
     return inner.select(*keys, *(out[m].alias(m) for m in merges))
+
+
+def declared(df: DataFrame, column: str, by: str) -> DataFrame:
+    """A table of states whose ``column`` says, in its metadata, which of MERGES reads it."""
+    if by not in MERGES:
+        raise ValueError(f"no such merge: {by}")
+    return df.withMetadata(column, {"merge": by})
+
+
+def read(table: DataFrame, keys: list[str]) -> DataFrame:
+    """The keys and each declared state column of table, merged as its metadata says, under its own name; other columns are left out."""
+    merges = {f.name: f.metadata["merge"] for f in table.schema if "merge" in f.metadata}
+    out = None
+    for name, by in merges.items():
+        one = merge(table.select(*keys, F.col(f"`{name}`").alias("state")), keys, by).select(*(F.col(k).alias(f"_{k}") if out is not None else F.col(k) for k in keys), F.col(by).alias(name))
+        out = one if out is None else out.join(one, [out[k].eqNullSafe(one[f"_{k}"]) for k in keys]).drop(*(f"_{k}" for k in keys))
+    if out is None:
+        raise ValueError("no column declares a merge")
+    return out

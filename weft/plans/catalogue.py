@@ -238,6 +238,38 @@ def json_round_trip(spark, sf_dir):
     return spark.read.schema(made.schema).json(at)
 
 
+def json_insert(spark, sf_dir):
+    """Rows given as JSON, inserted twice under one token."""
+    at, made = _shared(spark), _table(spark, sf_dir, "supplier").select("s_suppkey", "s_name", "s_nationkey")
+    for _ in range(2):
+        files.append_json(made.select(F.to_json(F.struct(*made.columns)).alias("row")), made.schema, at, "suppliers")
+    return spark.read.parquet(at).select(*made.columns)
+
+
+def state_table(spark, sf_dir):
+    """Two state columns by shard, read by the merges that their metadata names."""
+    lines = _table(spark, sf_dir, "lineitem").withColumn("shard", F.col("l_orderkey") % 8)
+    keys = ["l_returnflag", "shard"]
+    quantity = states.build(lines, keys, F.col("l_quantity")).withColumnRenamed("state", "mean")
+    number = states.build(lines, keys, F.col("l_linenumber")).withColumnRenamed("state", "high")
+    both = states.declared(states.declared(quantity.join(number, keys), "mean", "avg"), "high", "max")
+    return states.read(both, ["l_returnflag"]).select("l_returnflag", F.floor(F.col("mean") * 1000 + 0.5).cast("long").alias("mean"), F.col("high").cast("long").alias("high"))
+
+
+def import_actions(spark, sf_dir):
+    """What an import of the orders of each customer would do, where a third of them is there, a third differs and a third is not."""
+    orders = _table(spark, sf_dir, "orders").where("o_custkey is not null")
+    bundle = orders.groupBy(F.col("o_custkey").cast("string").alias("path")).agg(F.sum("o_orderkey").cast("string").alias("digest"), F.count("*").alias("rows"))
+    present = bundle.where("cast(path as bigint) % 3 <> 0").withColumn("rows", F.col("rows") + (F.col("path").cast("long") % 3 - 1))
+    return governance.import_plan(bundle, present).groupBy("action").agg(F.count("*").alias("n"), F.sum("rows").alias("rows"))
+
+
+def import_repeated(spark, sf_dir):
+    """Orders whose keys no receipt has."""
+    orders = _table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
+    return governance.import_new(orders, orders.where("o_orderkey % 4 <> 1"), "o_orderkey")
+
+
 def access_filter(spark, sf_dir):
     """Orders that customer 7 may see, by mode, ownership, group and agreement."""
     orders, customers = _table(spark, sf_dir, "orders"), _table(spark, sf_dir, "customer")
@@ -292,6 +324,12 @@ COMPOSED: dict[Callable, str] = {
     tabular_round_trip: "SELECT c_custkey, c_name, c_acctbal FROM customer",
     cached_result: "SELECT s_suppkey, s_name FROM supplier",
     json_round_trip: "SELECT s_suppkey, s_name, s_nationkey FROM supplier",
+    json_insert: "SELECT s_suppkey, s_name, s_nationkey FROM supplier",
+    state_table: "SELECT l_returnflag, CAST(FLOOR(AVG(l_quantity) * 1000 + 0.5) AS BIGINT) AS mean, CAST(MAX(l_linenumber) AS BIGINT) AS high FROM lineitem GROUP BY l_returnflag",
+    import_actions: """
+        WITH b AS (SELECT o_custkey AS c, COUNT(*) AS rows FROM orders WHERE o_custkey IS NOT NULL GROUP BY o_custkey)
+        SELECT CASE c % 3 WHEN 0 THEN 'add' WHEN 1 THEN 'keep' ELSE 'refuse' END AS action, COUNT(*) AS n, CAST(SUM(rows) AS BIGINT) AS rows FROM b GROUP BY 1""",
+    import_repeated: "SELECT o_orderkey, o_custkey FROM orders WHERE o_orderkey % 4 = 1 OR o_orderkey IS NULL",
     access_filter: """
         WITH m AS (SELECT c_nationkey AS g FROM customer WHERE c_custkey = 7),
         r AS (SELECT o_orderkey, o_custkey, CASE o_orderstatus WHEN 'F' THEN 'open' WHEN 'P' THEN 'registered' ELSE 'restricted' END AS mode FROM orders)

@@ -7,11 +7,13 @@ and Spark's error conditions are reported under the portable codes.
 
 from __future__ import annotations
 
+import hashlib
 import re
 from dataclasses import dataclass, field
 
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from weft.plans import gate
 
@@ -120,7 +122,21 @@ def dataframe(spark: SparkSession, text: str, values: list | dict | None = None,
         raise QueryError(CODES.get(condition.split(".")[0], condition or "spark"), str(error).split("\n")[0]) from error
 
 
-def bounded(df: DataFrame, most: int = 1000) -> tuple[list, bool]:
-    """At most so many rows, for showing, and whether there are more."""
-    rows = df.limit(most + 1).collect()
-    return rows[:most], len(rows) > most
+def query_hash(text: str) -> str:
+    """A digest of what a query asks for: its prepared text, with single spaces outside literals."""
+    query = prepare(text)
+    parts = re.split(r"('(?:[^']|\'\')*'|`[^`]*`)", query.text)
+    plain = "".join(x if i % 2 else re.sub(r"\s+", " ", x) for i, x in enumerate(parts)).strip()
+    return f"sha2-256:{hashlib.sha256(plain.encode()).hexdigest()}"
+
+
+def bounded(df: DataFrame, most: int = 1000, most_bytes: int = 4 << 20) -> tuple[list, bool]:
+    """At most so many rows, and as few as have so many bytes as JSON (one at least), for showing, and whether there are more."""
+    rows = df.limit(most + 1).select("*", F.length(F.to_json(F.struct("*"))).alias("_bytes")).collect()
+    shown, size = [], 0
+    for row in rows[:most]:
+        size += row["_bytes"] or 0
+        if shown and size > most_bytes:
+            break
+        shown.append(type(row)(**{k: v for k, v in row.asDict().items() if k != "_bytes"}) if len(set(row.__fields__)) == len(row) else row[:-1])
+    return shown, len(shown) < len(rows)

@@ -27,12 +27,26 @@ _WORDS = {
     r"\bfetch\s+(first|next)\b|\bfor\s+(update|share)\b": ("QF0000", "FETCH or a lock"),
     r"\bqualify\b": ("QF0000", "QUALIFY"),
 }
-# The most joins, common table expressions and levels of nesting, and nodes of a query.
-MOST_JOINS, MOST_CTES, MOST_DEPTH, MOST_NODES = 16, 32, 64, 4096
+# The most joins, common table expressions, levels of brackets, and words and signs of a query.
+MOST_JOINS, MOST_CTES, MOST_DEPTH, MOST_NODES = 256, 256, 64, 10_000
+
+
+def _oversize(text: str) -> str | None:
+    """What of a query, its literals emptied, there is more of than is allowed."""
+    depth = most = 0
+    for sign in re.findall(r"[()]", text):
+        depth += 1 if sign == "(" else -1
+        most = max(most, depth)
+    joins = len(re.findall(r"\bjoin\b", text, re.I))
+    ctes = len(re.findall(r"\bas\s*\(\s*select\b", text, re.I)) if re.match(r"\s*with\b", text, re.I) else 0
+    found = {"joins": (joins, MOST_JOINS), "common table expressions": (ctes, MOST_CTES), "levels": (most, MOST_DEPTH), "nodes": (len(re.findall(r"\w+|[^\s\w]", text)), MOST_NODES)}
+    return next((f"more than {limit} {what}" for what, (n, limit) in found.items() if n > limit), None)
 
 
 def refusal(spark: SparkSession, text: str) -> tuple[str, str] | None:
     """The code and reason for which a query, its literals emptied, is refused; None if it is in the subset, or Spark can't parse it."""
+    if over := _oversize(text):
+        return "budget", over
     for words, why in _WORDS.items():
         if re.search(words, text, re.I):
             return why
@@ -43,9 +57,4 @@ def refusal(spark: SparkSession, text: str) -> tuple[str, str] | None:
     for shown, why in REFUSED.items():
         if re.search(shown, plan):
             return why
-    lines = plan.split("\n")
-    depth = max(len(re.match(r"[\s:+-]*", x)[0]) // 3 for x in lines)
-    ctes = sum(x.count(",") + 1 for x in re.findall(r"CTE \[([^\n\]]*)\]", plan))
-    found = {"joins": (len(re.findall(r"'?Join ", plan)), MOST_JOINS), "common table expressions": (ctes, MOST_CTES), "levels": (depth, MOST_DEPTH), "nodes": (len(lines), MOST_NODES)}
-    over = next((f"more than {most} {what}" for what, (n, most) in found.items() if n > most), None)
-    return ("budget", over) if over else None
+    return None

@@ -31,17 +31,25 @@ def append_once(df: DataFrame, path: str, token: str) -> None:
     df.withColumn("batch_token", F.lit(token)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch_token").parquet(path)
 
 
+def append_json(rows: DataFrame, schema: StructType, path: str, token: str) -> None:
+    """append_once() of rows given as JSON objects, one in the only column of each row; ValueError of Spark's where one is none."""
+    text = F.col(rows.columns[0])
+    append_once(rows.select(F.from_json(text, schema, {"mode": "FAILFAST"}).alias("r")).select("r.*"), path, token)
+
+
 def cache_path(folder: str, key: str) -> str:
     """Where a result of that key is kept."""
     return f"{folder}/{key}_{hashlib.md5(key.encode()).hexdigest()[:12]}.parquet"
 
 
 def cached(df: DataFrame, folder: str, key: str) -> DataFrame:
-    """df from its cache, written there first if it is not yet. A half-written one does not count: it has no _SUCCESS."""
+    """df from its cache, written there first if it is not yet; ValueError if it has no row. A half-written one does not count: it has no _SUCCESS."""
     spark = df.sparkSession
     path = cache_path(folder, key)
     jpath = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
     if not jpath.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(jpath):
+        if df.isEmpty():
+            raise ValueError("an empty result is not cached")
         df.write.mode("overwrite").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

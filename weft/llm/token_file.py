@@ -31,7 +31,7 @@ from weft.llm import bpe, frames
 BLOCK, LANES = 4096, 1024
 MAGIC = 0x32544657
 #: Slots of the guesses of either order, how fast probabilities follow (a shift), bits of order 0's frequencies.
-_SLOTS, _RATE, _LEAST, _BITS = 4096, 5, 64, 20
+_SLOTS, _RATE, _BITS = 4096, 5, 20
 _WORD, _LOW, _32 = np.uint64(1 << 32), np.uint64(0xFFFFFFFF), np.uint64(32)
 #: ln(p / (1 - p)) of p in 1/4096, times 256, and back, rounded.
 _STRETCH = np.round(256 * np.log((np.arange(4096) + 0.5) / (4095.5 - np.arange(4096)))).astype(np.int64)
@@ -78,23 +78,22 @@ class _Mixer:
         self.rows = [np.arange(n) * c for c in contexts]
         self.weights = np.full((len(contexts), n), (1 << 17) // len(contexts) // 2 + (1 << 14), np.int64)
 
-    def chance(self, live: np.ndarray, contexts: tuple[np.ndarray, ...]) -> np.ndarray:
-        """In 1/65536, that the answer is yes; contexts: which entry of each table applies."""
-        self.live = live
-        self.spots = [rows[live] + c for rows, c in zip(self.rows, contexts, strict=True)]
-        self.stretched = [_STRETCH[table[spot] >> 4] for table, spot in zip(self.tables, self.spots, strict=True)]
-        self.own = self.weights[:, live]
-        total = sum(w * x for w, x in zip(self.own, self.stretched, strict=True)) >> 16
+    def chance(self, lanes: slice | np.ndarray, contexts: tuple[np.ndarray, ...]) -> np.ndarray:
+        """In 1/65536, that the answer is yes in these blocks; contexts: which entry of each table applies."""
+        self.lanes = lanes
+        self.spots = [rows[lanes] + c for rows, c in zip(self.rows, contexts, strict=True)]
+        self.was = [table[spot] for table, spot in zip(self.tables, self.spots, strict=True)]
+        self.stretched = [_STRETCH[x >> 4] for x in self.was]
+        total = sum(w[lanes] * x for w, x in zip(self.weights, self.stretched, strict=True)) >> 16
         self.mixed = _SQUASH[np.clip(total, -2047, 2047) + 2047]
-        return np.clip(self.mixed << 4, _LEAST, (1 << 16) - _LEAST)
+        return self.mixed << 4
 
     def learn(self, yes: np.ndarray) -> None:
         error = ((yes.astype(np.int64) << 12) - self.mixed) * 6
-        self.weights[:, self.live] = [w + ((x * error + 0x2000) >> 14) for w, x in zip(self.own, self.stretched, strict=True)]
-        full = yes.astype(np.int32) << 16
-        for table, spot in zip(self.tables, self.spots, strict=True):
-            was = table[spot]
-            table[spot] = np.minimum(was + ((full - was) >> _RATE), 65535)
+        full = yes.astype(np.int32) * 65535
+        for weight, x, table, spot, was in zip(self.weights, self.stretched, self.tables, self.spots, self.was, strict=True):
+            weight[self.lanes] += (x * error + 0x2000) >> 14
+            table[spot] = was + ((full - was) >> _RATE)
 
 
 class _Model:
@@ -110,10 +109,10 @@ class _Model:
         self.last = np.zeros(n, np.int64)
         self.before = np.zeros(n, np.int64)
 
-    def look(self, live: np.ndarray) -> np.ndarray:
-        """How likely order 2's guess is right."""
+    def look(self, n: int) -> np.ndarray:
+        """How likely order 2's guess is right in each of the first n blocks."""
+        self.live = live = slice(n)
         last, rows = self.last[live], self.rows[live]
-        self.live = live
         self.at = [rows + (last & (_SLOTS - 1)), rows + ((last * 0x9E3B + self.before[live] * 0x5F35) >> 3 & (_SLOTS - 1))]
         self.one, self.two = self.guess[0][self.at[0]], self.guess[1][self.at[1]]
         self.records = [self.record[k][self.at[k]] for k in range(2)]
@@ -122,7 +121,7 @@ class _Model:
 
     def look_again(self, asked: np.ndarray) -> np.ndarray:
         """How likely order 1's guess is right, where order 2's was another and wrong; asked: of those looked at, which."""
-        return self.one_right.chance(self.live[asked], (self.records[0][asked].astype(np.int64), self.level[self.one[asked]]))
+        return self.one_right.chance(asked, (self.records[0][asked].astype(np.int64), self.level[self.one[asked]]))
 
     def learn(self, ids: np.ndarray, hit: np.ndarray, right: np.ndarray) -> None:
         self.two_right.learn(hit)
@@ -155,7 +154,7 @@ def compress(blocks: np.ndarray, sizes: np.ndarray, order0: Frequencies) -> list
         if len(small):
             l, w = at[small], wide[small]
             w = np.where((l ^ (l + w)) >= _WORD, (np.uint64(0) - l) & _LOW, w)
-            own = lanes[small]
+            own = small if isinstance(lanes, slice) else lanes[small]
             if fill[own].max() >= out.shape[1]:
                 out = np.pad(out, ((0, 0), (0, out.shape[1])))
             out[own, fill[own]] = (l >> _32).astype(np.uint32)
@@ -164,22 +163,22 @@ def compress(blocks: np.ndarray, sizes: np.ndarray, order0: Frequencies) -> list
         low[lanes], width[lanes] = at, wide
 
     for t in range(int(sizes.max(initial=0))):
-        live = np.arange(np.searchsorted(-sizes, -t, "left"))
-        ids = blocks[live, t]
-        chance = model.look(live)
+        n = int(np.searchsorted(-sizes, -t, "left"))
+        ids = blocks[:n, t]
+        chance = model.look(n)
         hit = ids == model.two
-        emit(live, *_sides(hit, chance), 16)
+        emit(slice(n), *_sides(hit, chance), 16)
         asked = np.flatnonzero(~hit & ~model.agree)
         chance = model.look_again(asked)
         right = ids[asked] == model.one[asked]
-        emit(live[asked], *_sides(right, chance), 16)
+        emit(asked, *_sides(right, chance), 16)
         plain = ~hit
         plain[asked[right]] = False
         plain = np.flatnonzero(plain)
-        emit(live[plain], order0.start[ids[plain]], order0.size[ids[plain]], _BITS)
+        emit(plain, order0.start[ids[plain]], order0.size[ids[plain]], _BITS)
         model.learn(ids, hit, right)
     tail = np.stack([low >> _32, low & _LOW], 1).astype("<u4")
-    return [np.append(out[i, : fill[i]].astype("<u4"), tail[i]).tobytes() for i in range(n)]
+    return [np.append(out[i, : fill[i]].astype("<u4"), tail[i]).tobytes() for i in range(len(sizes))]
 
 
 def expand(payloads: list[bytes], sizes: np.ndarray, order0: Frequencies) -> np.ndarray:
@@ -202,7 +201,7 @@ def expand(payloads: list[bytes], sizes: np.ndarray, order0: Frequencies) -> np.
         if len(small):
             l, w = at[small], wide[small]
             w = np.where((l ^ (l + w)) >= _WORD, (np.uint64(0) - l) & _LOW, w)
-            own = lanes[small]
+            own = small if isinstance(lanes, slice) else lanes[small]
             code[own] = code[own] << _32 | words[own, np.minimum(taken[own], most - 1)]
             taken[own] += 1
             at[small], wide[small] = l << _32, w << _32
@@ -214,21 +213,20 @@ def expand(payloads: list[bytes], sizes: np.ndarray, order0: Frequencies) -> np.
         return yes
 
     for t in range(blocks.shape[1]):
-        live = np.arange(np.searchsorted(-sizes, -t, "left"))
-        hit = asks(live, model.look(live))
+        n = int(np.searchsorted(-sizes, -t, "left"))
+        hit = asks(slice(n), model.look(n))
         ids = model.two.astype(np.int64)
         asked = np.flatnonzero(~hit & ~model.agree)
-        right = asks(live[asked], model.look_again(asked))
+        right = asks(asked, model.look_again(asked))
         ids[asked] = model.one[asked]
         plain = ~hit
         plain[asked[right]] = False
         plain = np.flatnonzero(plain)
-        lanes = live[plain]
-        slot = np.minimum((code[lanes] - low[lanes]) // np.maximum(width[lanes] >> np.uint64(_BITS), np.uint64(1)), np.uint64((1 << _BITS) - 1)).astype(np.int64)
+        slot = np.minimum((code[plain] - low[plain]) // np.maximum(width[plain] >> np.uint64(_BITS), np.uint64(1)), np.uint64((1 << _BITS) - 1)).astype(np.int64)
         ids[plain] = order0.at(slot)
-        take(lanes, order0.start[ids[plain]], order0.size[ids[plain]], _BITS)
+        take(plain, order0.start[ids[plain]], order0.size[ids[plain]], _BITS)
         model.learn(ids, hit, right)
-        blocks[live, t] = ids
+        blocks[:n, t] = ids
     return blocks
 
 

@@ -1,8 +1,8 @@
 """Token-id files: documents' ids in blocks that an adaptive context-mixing range coder compresses.
 
 A file row is a segment: whole documents in ascending doc_id order, their ids cut into
-blocks of ``BLOCK``. Each block starts from an empty model and has its own checksum, so
-that one can be read, or found damaged, without another. The blocks of a segment are
+blocks of ``BLOCK``. Each block starts from an empty model and has its own checksum, of its
+ids and its bytes, so that one can be read, or found damaged, without another. The blocks of a segment are
 coded side by side: each numpy operation does one step of all of them.
 
 A block predicts the next id from the last two (order 2), from the last one (order 1) and
@@ -245,7 +245,7 @@ def write_segment(doc_ids: np.ndarray, lengths: np.ndarray, ids: np.ndarray) ->
     order0 = Frequencies.of(ids)
     payloads = [p for at in range(0, len(sizes), LANES) for p in compress(blocks[at : at + LANES], sizes[at : at + LANES], order0)]
     flat = ids.astype("<u4")
-    sums = [zlib.crc32(flat[at : at + BLOCK].tobytes()) for at in range(0, len(ids), BLOCK)]
+    sums = [zlib.crc32(p, zlib.crc32(flat[at : at + BLOCK].tobytes())) for at, p in zip(range(0, len(ids), BLOCK), payloads, strict=True)]
     known = order0.pack()
     body = b"".join([np.array(doc_ids, "<i8").tobytes(), np.array(lengths, "<i8").tobytes(), np.array(list(map(len, payloads)), "<u4").tobytes(), np.array(sums, "<u4").tobytes(), known])
     head = np.array([MAGIC, len(doc_ids), len(sizes), len(known), zlib.crc32(body)], "<u4").tobytes()
@@ -267,9 +267,9 @@ def read_segment(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     parts = []
     for at in range(0, count, LANES):
         blocks = expand(payloads[at : at + LANES], sizes[at : at + LANES], order0)
-        for row, size, check in zip(blocks, sizes[at : at + LANES].tolist(), sums[at : at + LANES].tolist(), strict=True):
+        for row, payload, size, check in zip(blocks, payloads[at : at + LANES], sizes[at : at + LANES].tolist(), sums[at : at + LANES].tolist(), strict=True):
             part = row[:size].astype("<u4")
-            if zlib.crc32(part.tobytes()) != check:
+            if zlib.crc32(payload, zlib.crc32(part.tobytes())) != check:
                 raise ValueError("damaged block of a token segment")
             parts.append(part)
     return doc_ids, lengths, np.concatenate(parts) if parts else np.zeros(0, "<u4")

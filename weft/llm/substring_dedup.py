@@ -191,6 +191,7 @@ def repeats(docs: DataFrame, window: int = WINDOW, prefix: int = PREFIX, rest: b
 
     marks = frames.arrow_map(frames.keyed(docs), census, "label long, _k long, places long")
     known = marks.groupBy("label").agg(F.min("_k").alias("_k"), F.sum("places").alias("places")).where(f"places = 1 or places > {group}")
+    known = frames.stored(known)
     leaves = known.where("places = 1").groupBy("_k").agg(F.collect_list("label").alias("leaves"))
     long = known.where(f"places > {group}").select("label")
     extended = marks.join(long, "label").groupBy("_k").agg(F.collect_set("label").alias("extended"))
@@ -224,7 +225,9 @@ def repeats(docs: DataFrame, window: int = WINDOW, prefix: int = PREFIX, rest: b
 
     def longest(batch):
         """The first suffix in the batch of each whole window whose prefix is extended."""
-        parts = []
+        parts, batch = [], batch.filter(batch.column(4).is_valid())
+        if not batch.num_rows:
+            return
         for run, keys, doc, at, _, _, far in picked(batch):
             d, w, hashes = doc[far], at[far], run.word_hashes()
             parts.append((text.sequences(hashes, window)[w], text.sequences(hashes, window, 1)[w] >> np.uint64(32), keys[d], w - run.words[d]))
@@ -237,7 +240,8 @@ def repeats(docs: DataFrame, window: int = WINDOW, prefix: int = PREFIX, rest: b
 
     grouped = frames.arrow_map(held.select("_k", "doc_id", "packed", "leaves", "extended"), places, "label long, _k long, start long, windows int, words binary")
     inner = grouped.repartition("label").sortWithinPartitions("label").mapInArrow(trees, "_k long, start long")
-    alone = frames.arrow_map(held.where("extended is not null").select("_k", "doc_id", "packed", "leaves", "extended"), longest, "node long, check int, _k long, start long")
+    # All documents go to both, so that both read one shuffle of the texts.
+    alone = frames.arrow_map(held.select("_k", "doc_id", "packed", "leaves", "extended"), longest, "node long, check int, _k long, start long")
     nodes = alone.groupBy("node", "check").agg(F.min(F.struct("_k", "start")).alias("first")).select("first.*")
     firsts = inner.unionByName(nodes).groupBy("_k").agg(F.collect_list("start").alias("firsts"))
     return held.join(firsts, "_k", "left").select("_k", "doc_id", "packed", "leaves", "firsts", *more)

@@ -12,7 +12,6 @@ counts leave out.
 
 from __future__ import annotations
 
-import re
 import sys
 import unicodedata
 from dataclasses import dataclass
@@ -33,15 +32,20 @@ DISCOUNT, ALPHABET = 0.75, 5000
 MARGIN, TAIL = 1.5, 0.999
 NONE = "und"
 
-#: Runs of letters (category L): re's word characters without digits, other numerals and the underscore.
-_LETTERS = re.compile(r"[^\W\d_" + "".join(map(chr, (c for c in range(sys.maxunicode + 1) if unicodedata.category(chr(c)) in ("Nl", "No")))) + "]+")
+#: Whether a code point is a letter (category L).
+_LETTER = np.array([unicodedata.category(chr(c))[0] == "L" for c in range(sys.maxunicode + 1)])
 _MULTIPLY = np.uint64(0x9E3779B97F4A7C15)
 
 
 def characters(line: str | None) -> np.ndarray:
     """The code points that a model sees: a space before each run of letters and one at the end; none without letters."""
-    words = _LETTERS.findall((line or "").lower())
-    return np.frombuffer(f" {' '.join(words)} ".encode("utf-32-le"), np.uint32).astype(np.uint64) if words else np.zeros(0, np.uint64)
+    points = np.frombuffer((line or "").lower().encode("utf-32-le"), np.uint32)
+    letter = np.append(_LETTER[points], False)
+    after = np.append(False, letter[:-1])
+    if not letter.any():
+        return np.zeros(0, np.uint64)
+    spaced = np.where(letter, np.append(points, 32), 32)[letter | after]  # of what stands between letters, the first place
+    return np.append(32, spaced).astype(np.uint64)
 
 
 def _hashes(points: np.ndarray) -> list[np.ndarray]:
